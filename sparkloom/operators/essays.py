@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import fold
+from ..functions.text import fold, once
 
 
 def tokens(text: Column) -> Column:
-    return F.filter(F.split(fold(text), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
+    return F.array_remove(F.split(fold(text), r"[^\p{L}\p{N}_]+"), "")
 
 
 def ngrams(words: Column, n: int) -> Column:
     """n-grams joined by a space; none of shorter lists."""
-    ends = F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1)))
-    return F.when(F.size(words) >= n, F.transform(ends, lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    def of(w: Column) -> Column:
+        ends = F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1)))
+        return F.when(F.size(w) >= n, F.transform(ends, lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+    return once(words, of)
 
 
 def ngram_frequency(df: DataFrame, text_col: str, n: int, stop: list[str] = ()) -> DataFrame:
@@ -28,9 +31,9 @@ def ngram_frequency(df: DataFrame, text_col: str, n: int, stop: list[str] = ())
 
 def tf_idf(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(term, tfidf_score): mean over documents of tf * ln(N / df). Terms are aggregated a document before the second shuffle."""
-    docs = df.where(F.size(tokens(F.col(text_col))) > 0)
+    docs = df.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("w")).where(F.size("w") > 0)
     n = docs.agg(F.count("*").alias("n_docs"))
-    per = docs.select(F.col(id_col).alias("id"), F.explode(tokens(F.col(text_col))).alias("term"), F.size(tokens(F.col(text_col))).alias("size"))
+    per = docs.select("id", F.explode("w").alias("term"), F.size("w").alias("size"))
     tf = per.groupBy("id", "term").agg((F.count("*") / F.first("size")).alias("tf"))
     t = tf.groupBy("term").agg(F.sum("tf").alias("s"), F.count("*").alias("d"))
     return t.join(F.broadcast(n)).select("term", (F.col("s") * F.log(F.col("n_docs") / F.col("d")) / F.col("n_docs")).alias("tfidf_score"))

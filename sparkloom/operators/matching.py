@@ -24,9 +24,8 @@ def with_matches(df: DataFrame, text_col: str, taxonomy=None, keep: int = 20) ->
     Null texts match nothing."""
     taxonomy = taxonomy or lx.TAXONOMY
     table = F.array(*(F.struct(F.lit(i).alias("term_seq"), F.lit(p).alias("phrase"), F.lit(c).alias("category"), F.lit(t).alias("tier"), F.lit(tx.spaced_phrase(p)).alias("s"), F.lit(phrase_pattern(p)).alias("pattern")) for i, (p, c, t) in enumerate(taxonomy)))
-    df = df.withColumn("_folded", tx.fold(F.col(text_col))).withColumn("_spaced", tx.spaced(F.col("_folded")))
-    df = df.where(tx.any_term(F.col("_spaced"), [p for p, _, _ in taxonomy])) if len(taxonomy) <= 40 else df
-    hit = df.withColumn("_t", F.explode(F.filter(table, lambda s: F.col("_spaced").contains(s["s"])))).drop("_spaced")
+    folded = df.where(F.col(text_col).isNotNull()).withColumn("_folded", tx.fold(F.col(text_col)))
+    hit = folded.withColumn("_t", F.explode(tx.once(tx.spaced(F.col("_folded")), lambda s: F.filter(table, lambda x: s.contains(x["s"])))))
     found = F.regexp_extract_all(F.col("_folded"), F.col("_t.pattern"), F.lit(0))
     parts = F.split(F.col("_folded"), F.col("_t.pattern"), -1)
     # Offsets: lengths of what stands before, cumulated over parts and matches.
@@ -38,8 +37,7 @@ def with_matches(df: DataFrame, text_col: str, taxonomy=None, keep: int = 20) ->
         lambda acc: acc["out"],
     )
     out = hit.withColumn("_o", F.explode(start))
-    cols = [c for c in df.columns if c not in ("_spaced",)]
-    return out.select(*cols, F.col("_t.term_seq").alias("term_seq"), F.col("_t.phrase").alias("phrase"), F.col("_t.category").alias("category"), F.col("_t.tier").alias("tier"), F.col("_o.start").alias("start"), F.col("_o.end").alias("end"))
+    return out.select(*df.columns, "_folded", F.col("_t.term_seq").alias("term_seq"), F.col("_t.phrase").alias("phrase"), F.col("_t.category").alias("category"), F.col("_t.tier").alias("tier"), F.col("_o.start").alias("start"), F.col("_o.end").alias("end"))
 
 
 def specific_over_generic(matches: DataFrame, key: str) -> DataFrame:

@@ -97,10 +97,10 @@ _TERMS = "(values " + ", ".join(f"('{tx.spaced_phrase(p)}', '{p}', '{c}', '{k}')
 @query(f"with r as (select record_id, {s_spaced(s_fold('raw_text'))} as f from extracted_record where raw_text is not null) select record_id, phrase, category, tier from r join {_TERMS} on contains(f, s)")
 def term_match_theta(spark, d):
     """Which phrases each text holds."""
-    s = tx.spaced(tx.fold(F.col("raw_text")))
     table = F.array(*(F.struct(F.lit(p).alias("phrase"), F.lit(c).alias("category"), F.lit(k).alias("tier"), F.lit(tx.spaced_phrase(p)).alias("s")) for p, c, k in lx.TAXONOMY))
-    r = t(spark, d, "extracted_record").where(F.col("raw_text").isNotNull()).select("record_id", s.alias("f"))
-    return r.select("record_id", F.explode(F.filter(table, lambda x: F.col("f").contains(x["s"]))).alias("x")).select("record_id", "x.phrase", "x.category", "x.tier")
+    held = tx.once(tx.spaced(tx.fold(F.col("raw_text"))), lambda f: F.filter(table, lambda x: f.contains(x["s"])))
+    r = t(spark, d, "extracted_record").where(F.col("raw_text").isNotNull())
+    return r.select("record_id", F.explode(held).alias("x")).select("record_id", "x.phrase", "x.category", "x.tier")
 
 
 @query(f"""with r as (select record_id, {s_spaced(s_fold('raw_text'))} as f from extracted_record where raw_text is not null), m as (select record_id, phrase, tier from r join {_TERMS} on contains(f, s)),
