@@ -172,9 +172,9 @@ class Identifier:
 
     def identify(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Languages, confidences, and leads in nats over the next language."""
+        if not len(texts) or not self.languages:  # nothing to say, or nothing learnt
+            return ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
         scores, sizes = self.scores([tokens(t) for t in texts])
-        if not len(texts):
-            return [], np.zeros(0), np.zeros(0)
         best = scores.max(axis=1)
         which = scores.argmax(axis=1)
         lead = best - np.sort(scores, axis=1)[:, -2] if len(self.languages) > 1 else sizes.astype(float)

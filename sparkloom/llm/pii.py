@@ -205,7 +205,7 @@ def find_pii(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 if text:
                     for s, e, kind in scan.spans(text):
                         ids.append(i), kinds.append(kind), values.append(text[s:e]), starts.append(s), ends.append(e)
-            yield pd.DataFrame({id_col: pd.Series(ids, dtype=pdf[id_col].dtype), "kind": kinds, "pii_value": values, "start": pd.Series(starts, dtype="int64"), "end": pd.Series(ends, dtype="int64")})
+            yield pd.DataFrame({id_col: pd.Series(ids, dtype=pdf[id_col].dtype), "kind": pd.Series(kinds, dtype=object), "pii_value": pd.Series(values, dtype=object), "start": pd.Series(starts, dtype="int64"), "end": pd.Series(ends, dtype="int64")})
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(id_col, text_col).where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).mapInPandas(run, f"`{id_col}` {kind}, kind string, pii_value string, start bigint, end bigint")
