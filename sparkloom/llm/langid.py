@@ -124,6 +124,7 @@ class Identifier:
 
     #: Words whose scores a worker keeps; beyond it the store is emptied, so that it can't grow with the data.
     BOUND = 400_000
+    CHUNK = 4096
 
     def __init__(self, samples: dict[str, list[str]], order: int = ORDER) -> None:
         self.languages = [x for x in LANGUAGES if samples.get(x)]
@@ -172,6 +173,9 @@ class Identifier:
 
     def identify(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Languages, confidences, and leads in nats over the next language."""
+        if len(texts) > self.CHUNK:  # the words of a chunk are held at once, not those of a whole batch
+            parts = [self.identify(texts[i : i + self.CHUNK]) for i in range(0, len(texts), self.CHUNK)]
+            return [x for p in parts for x in p[0]], np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
         if not len(texts) or not self.languages:  # nothing to say, or nothing learnt
             return ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
         scores, sizes = self.scores([tokens(t) for t in texts])
