@@ -454,6 +454,37 @@ def host_of(url: str | None) -> tuple[str, str] | None:
     return (m.group(1), m.group(2).upper()) if m else None
 
 
+def host_statistics(records: DataFrame, index: Index) -> list[tuple[str, int]]:
+    """(name under the academic domain, record) of each institutional host that most rows with a full name give to that record, over
+    all rows: a host whose rows name chiefly other institutions, listed elsewhere or nowhere, is none of the list. Counted and chosen
+    by the cluster; a pair reaches the driver for each host that a listed institution could have."""
+    shared = records.sparkSession.sparkContext.broadcast(index)
+
+    def run(batches):
+        from collections import Counter
+
+        ix = _index(shared)
+        for pdf in batches:
+            counts: Counter = Counter()
+            rows = [(name, h) for name, urls in zip(pdf["institution"], pdf["urls"]) if (h := next((h for h in map(host_of, [] if urls is None else urls) if h), None))]
+            parsed = {name: parse(name) for name, _ in rows}
+            ix.warm({w for p in parsed.values() for w in p.words})
+            meant = {name: ix.best(name) for name in parsed}
+            for name, (label, country) in rows:
+                b = meant[name]
+                if b and b[1] > 0.95 and ix.ref[b[0]][2] == country:
+                    n = b[0]
+                    counts[label, country, n if label.startswith(CODES.get("".join(sorted(ix.ref[n][1])), "?")) else -1] += 1
+                elif parsed[name].words and (not b or b[1] > 0.95):
+                    counts[label, country, -1] += 1
+            got = [(*k, n) for k, n in counts.items()]
+            yield pd.DataFrame(got, columns=["label", "country", "ref", "n"]).astype({"label": object, "country": object, "ref": "int64", "n": "int64"})
+
+    found = records.select("institution", "urls").mapInPandas(run, "label string, country string, ref bigint, n bigint").groupBy("label", "country", "ref").agg(F.sum("n").alias("n"))
+    best = found.groupBy("label", "country").agg(F.max_by("ref", F.struct("n", -F.col("ref"))).alias("ref")).where("ref >= 0")
+    return sorted((r["label"], r["ref"]) for r in best.select("label", "ref").distinct().collect())
+
+
 N_FEATURES = 8
 
 
@@ -466,25 +497,11 @@ def features(index: Index, n: int, s: float, r: float, acronym: bool, countries:
 
 
 class Matcher:
-    """An index with the classifier; a row is (name, country, code, city, urls)."""
+    """An index, which has learnt names and hosts (`name_statistics`, `host_statistics`), with the classifier; a row is (name, country, code, city, urls)."""
 
     def __init__(self, index: Index, sample: list[tuple]) -> None:
         self.index = index
-        # Acronyms that names and addresses of the sample give beside a full name.
-        index.learn(acronyms_beside_names(index, [r[0] for r in sample]))
         index.warm({w for r in sample for w in parse(r[0]).words})
-        seen: dict[tuple[str, int], int] = {}
-        for name, country, code, _, urls in sample:
-            b = index.best(name)
-            host = next((h for h in map(host_of, urls) if h), None)
-            if b and host and b[1] > 0.95 and index.ref[b[0]][2] == host[1]:
-                seen[(host[0], b[0])] = seen.get((host[0], b[0]), 0) + 1
-        top: dict[str, tuple[int, int]] = {}
-        for (a, n), k in sorted(seen.items()):
-            code = CODES.get("".join(sorted(index.ref[n][1])), "?")
-            if a.startswith(code) and k > top.get(a, (0, 0))[0]:
-                top[a] = (k, n)
-        index.learn([(a, n) for a, (_, n) in top.items()])
         x, y = [], []
         for name, country, code, city, urls in sample:
             host = next((h for h in map(host_of, urls) if h), None)
@@ -554,7 +571,7 @@ class Matcher:
 
 def match_records(records: DataFrame, ref: DataFrame, id_col: str, ref_name: str, country_col: str, city_col: str, sample_from: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(id, rec_table, rec_id, confidence): the institution of each record (rec_table, rec_id, institution, country, country_code, city, urls).
-    sample_from: records of the same columns, of which at most `sample`, chosen by hash, fit the classifier."""
+    Acronyms and hosts are learnt from all records; sample_from: records of the same columns, of which at most `sample`, chosen by hash, fit the classifier."""
     spark = records.sparkSession
     rows = sample_from.where(F.col("institution").isNotNull()).orderBy(F.xxhash64("rec_id", "institution")).limit(sample).collect()
     names = materialize(records.select(F.col("institution").alias("spelling")).where(F.trim("spelling") != "").distinct())
@@ -564,6 +581,7 @@ def match_records(records: DataFrame, ref: DataFrame, id_col: str, ref_name: str
         index = Index(block)
         index.learn(acronyms_beside_names(index, [r[1] for r in block]))
         index.settle(name_statistics(names, index))
+        index.learn(host_statistics(records, index))
         shared = spark.sparkContext.broadcast(Matcher(index, fitted))
 
         def run(batches, shared=shared):

@@ -144,6 +144,15 @@ def test_matching_needs_the_country(spark):
     assert {k: v.qs_id for k, v in out.items()} == {1: 1, 3: 1, 5: 2} and all(0 <= v.confidence <= 1 for v in out.values())
 
 
+def test_hosts_are_learnt_from_all_rows(spark):
+    ref = spark.createDataFrame([(1, "Universidad Católica de Pelbencho", "Peru", None), (2, "Universidad Nacional de Zumelvia", "Chile", None)], "qs_id long, n string, c string, city string")
+    rows = [("c", k, "Universidad Católica de Pelbencho", "Perú", None, None, ["ucxq.edu.pe.example"]) for k in range(3)] + [("c", 10, "Universidad", None, None, None, ["ucxq.edu.pe.example"])]
+    rows += [("c", 20 + k, "Universidad Nacional de Rinutes", "Chile", None, None, ["unrt.edu.cl.example"]) for k in range(3)] + [("c", 30, "Universidad Nacional de Zumelvia", "Chile", None, None, ["unrt.edu.cl.example"]), ("c", 31, None, None, None, None, ["unrt.edu.cl.example"])]
+    df = spark.createDataFrame(rows, "rec_table string, rec_id long, institution string, country string, country_code string, city string, urls array<string>")
+    out = {r.rec_id: r.qs_id for r in institutions.match_records(df, ref, "qs_id", "n", "c", "city", df.limit(0)).collect()}
+    assert out == {0: 1, 1: 1, 2: 1, 10: 1, 30: 2}
+
+
 def test_packing(spark):
     rnd = random.Random(2)
     sizes = [rnd.randrange(1, 900) for _ in range(500)]
