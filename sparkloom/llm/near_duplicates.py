@@ -1,39 +1,32 @@
-"""Near-duplicate texts with small edits: banded candidates, sequential Bayesian pruning, exact verification.
+"""Near-duplicate texts with small edits: an exact similarity join by rare words, parity filter, verification.
 
 Two texts are near-duplicates if they share at least `threshold` of the words of the longer one (as multisets).
 
-1. A count-min row of WIDTH cells over all texts (a fixed size, whatever the data) tells how common each run of three
-   words is.
-2. Each text gets band keys from weighted MinHash over its runs of three words, which weigh by their rarity (so that texts of one
-   template don't meet), and an unweighted signature of one byte a hash over its words with their occurrence numbers.
-3. Texts with the same bag of words are one class; a representative stands for it from here on.
-4. Representatives that share a band key are candidates (a join on the key with an order and a length condition). A key
-   that more than HOT share is lengthened by three signature bytes, in eight ways: alike texts still meet, others part.
-5. Signatures are compared in batches: a pair is dropped once the posterior chance that its similarity reaches the
-   threshold falls below `miss`, under a uniform prior. Survivors are verified on the words themselves.
+1. Words get occurrence numbers, so multisets are sets. A count-min row of WIDTH cells over all texts (a fixed size, whatever
+   the data) gives all words one order, rare ones first.
+2. Texts with the same bag of words are one class; a representative stands for it from here on.
+3. Two texts that share t words share the k-th rarest of these among the first size - t + k words of both. So a text's keys are the
+   first size - t + 1 words; a word expected in more than `hot` texts is lengthened by each later word of the prefix of k = 2, and so
+   on to LEVELS. Whether a key is lengthened follows from its words alone, so that no pair is lost.
+4. Representatives that share a key are candidates if their sizes allow it and the parities of their words in 128 cells differ in
+   no more cells than words may differ. Neither condition loses a pair. Survivors are verified on the words themselves.
 
 Defined results: null and wordless texts belong to no group; equal texts share all words; ties can't arise.
 """
 
 from __future__ import annotations
 
-import math
-from functools import lru_cache
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, materialize, mix64, seeds, tune_bands, words
+from .common import WordHashes, materialize, mix64, words
 
 WIDTH = 1 << 16
-#: Below this share of texts rarity doesn't count further.
-FLOOR = 5e-3
-SIGNATURE = 64
-BATCH = 16
-#: A band key that more representatives than this share is lengthened.
-HOT = 64
+#: A key that more texts than this are expected to share is lengthened, up to LEVELS words.
+HOT = 8192
+LEVELS = 3
 
 _hashes = WordHashes()
 
@@ -42,90 +35,90 @@ def _hash_words(tokens: list[str]) -> np.ndarray:
     return np.fromiter(map(_hashes.__getitem__, tokens), np.uint64, len(tokens))
 
 
-def _run_hashes(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Hash of each word with the next two; at a text's end its last word stands for what is missing."""
-    ends = np.append(starts[1:], len(h)) - 1
-    last = np.repeat(ends, np.diff(np.append(starts, len(h))))
-    at = np.arange(len(h))
+def _occurrences(lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each word with its occurrence number within its text, sizes, starts) of texts that have words; sorts the lists."""
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    starts = np.cumsum(sizes) - sizes
+    for w in lists:
+        w.sort()
+    h = _hash_words([x for w in lists for x in w])
+    # words are sorted, so equal hashes are neighbours
+    new = np.ones(len(h), bool)
+    new[1:] = h[1:] != h[:-1]
+    new[starts] = True
+    first = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
     with np.errstate(over="ignore"):
-        two = mix64(h * np.uint64(0x9E3779B97F4A7C15) + h[np.minimum(at + 1, last)])
-        return mix64(two * np.uint64(0x9E3779B97F4A7C15) + h[np.minimum(at + 2, last)])
+        return mix64(h + (np.arange(len(h)) - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), sizes, starts
 
 
 def _sketch(df: DataFrame, text_col: str) -> tuple[np.ndarray, int]:
-    """Texts that hold a run of each cell, and texts; summed by the cluster, only WIDTH numbers reach the driver."""
+    """Words of each cell, and texts; summed by the cluster, only WIDTH numbers reach the driver."""
 
     def run(batches):
         cells, n = np.zeros(WIDTH, np.int64), 0
         for pdf in batches:
             for at in range(0, len(pdf), 2000):
                 lists = [w for t in pdf[text_col].iloc[at : at + 2000] if (w := words(t))]
-                if not lists:
-                    continue
-                n += len(lists)
-                sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-                h = _hash_words([x for w in lists for x in w])
-                cell = (_run_hashes(h, np.cumsum(sizes) - sizes) % np.uint64(WIDTH)).astype(np.int64)
-                # a text counts once a cell
-                once = np.unique(np.repeat(np.arange(len(lists)), sizes) * WIDTH + cell) % WIDTH
-                cells += np.bincount(once, minlength=WIDTH)
+                if lists:
+                    n += len(lists)
+                    cells += np.bincount((_occurrences(lists)[0] % np.uint64(WIDTH)).astype(np.int64), minlength=WIDTH)
         at = np.nonzero(cells)[0]
         yield pd.DataFrame({"cell": np.append(at, -1), "n": np.append(cells[at], n)})
 
     rows = df.select(text_col).where(F.col(text_col).isNotNull()).mapInPandas(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(WIDTH, np.float32)
+    out = np.zeros(WIDTH, np.int64)
     own = rows["cell"] >= 0
     out[rows["cell"][own].to_numpy()] = rows["n"][own]
     return out, int(rows["n"][~own].sum())
 
 
-def _signatures(df: DataFrame, id_col: str, text_col: str, bands: int, rows: int) -> DataFrame:
-    """(id, bag, size, keys, sig): keys has a hash a band."""
-    cells, total = _sketch(df, text_col)
-    weights = df.sparkSession.sparkContext.broadcast((1.0 / np.maximum(cells / max(1, total), FLOOR)).astype(np.float32))
-    k_band, k_sig = seeds(bands * rows), seeds(SIGNATURE, 10_000)
+def _keys(tokens: np.ndarray, counts: np.ndarray, sizes: np.ndarray, starts: np.ndarray, need: np.ndarray, total: int, most: int = HOT) -> tuple[np.ndarray, np.ndarray]:
+    """(text, key) of all texts; tokens in the common order within each text, need: words it has to share at least."""
+    texts, keys = [], []
+    own, at = np.arange(len(sizes)), np.full(len(sizes), -1, np.int64)
+    key, met = np.zeros(len(sizes), np.uint64), np.full(len(sizes), float(max(1, total)))
+    for k in range(1, LEVELS + 1):
+        more = np.maximum(np.minimum(sizes, sizes - need + k)[own] - at - 1, 0)
+        step = np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more)
+        own, at = np.repeat(own, more), np.repeat(at, more) + 1 + step
+        token = starts[own] + at
+        with np.errstate(over="ignore"):
+            key = mix64(np.repeat(key, more) * np.uint64(0x9E3779B97F4A7C15) + tokens[token])
+        met = np.repeat(met, more) * counts[token] / max(1, total)
+        hot = met > most
+        done = ~hot | (k >= need[own]) if k < LEVELS else np.ones(len(own), bool)
+        texts.append(own[done]), keys.append(key[done])
+        own, at, key, met = own[hot], at[hot], key[hot], met[hot]
+    return np.concatenate(texts), np.concatenate(keys)
+
+
+def _signatures(df: DataFrame, id_col: str, text_col: str, threshold: float, hot: int) -> DataFrame:
+    """(id, bag, size, keys, x, y): keys that texts which share enough words have in common, x and y parities of the words in 128 cells."""
+    shared = df.sparkSession.sparkContext.broadcast(_sketch(df, text_col))
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        weight = weights.value
+        cells, total = shared.value
         for pdf in batches:
             for at in range(0, len(pdf), 2000):
                 part = pdf.iloc[at : at + 2000]
-                ids, bags, sizes, flat, ordered = [], [], [], [], []
-                for i, t in zip(part[id_col], part[text_col]):
-                    w = words(t)
-                    if not w:
-                        continue
-                    ids.append(i), sizes.append(len(w)), flat.extend(w)
-                    w.sort()
-                    ordered.extend(w)
-                    bags.append(_hash_text(" ".join(w)))
-                if not ids:
+                kept = [(i, w) for i, t in zip(part[id_col], part[text_col]) if (w := words(t))]
+                if not kept:
                     continue
-                ends = np.cumsum(sizes)
-                starts = ends - sizes
-                h = _hash_words(ordered)
-                # occurrence number of each word within its text: words are sorted, so runs of equal hashes
-                new = np.ones(len(h), bool)
-                new[1:] = h[1:] != h[:-1]
-                new[starts] = True
-                first = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
-                with np.errstate(over="ignore"):
-                    ho = mix64(h + (np.arange(len(h)) - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                    sig = np.empty((len(ids), SIGNATURE), np.uint8)
-                    for k in range(SIGNATURE):
-                        sig[:, k] = (np.minimum.reduceat((ho * k_sig[k]) >> np.uint64(20), starts) & np.uint64(0xFF)).astype(np.uint8)
-                    runs = _run_hashes(_hash_words(flat), starts)
-                    inverse = -1.0 / weight[(runs % np.uint64(WIDTH)).astype(np.int64)]
-                    keys = np.zeros((len(ids), bands), np.uint64)
-                    for b in range(bands):
-                        for r in range(rows):
-                            u = ((runs * k_band[b * rows + r]) >> np.uint64(40)).astype(np.float32)
-                            least = np.minimum.reduceat(np.log((u + np.float32(0.5)) * np.float32(2**-24)) * inverse, starts)
-                            keys[:, b] = mix64(keys[:, b] * np.uint64(31) + least.view(np.uint32) + np.uint64(b + 1))
-                yield pd.DataFrame({id_col: pd.Series(ids, dtype=pdf[id_col].dtype), "bag": np.array(bags, np.uint64).view(np.int64), "size": np.array(sizes, np.int32), "keys": list(keys.view(np.int64)), "sig": [x.tobytes() for x in sig]})
-
-    return df.select(id_col, text_col).where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).mapInPandas(run, f"`{id_col}` {kind}, bag bigint, size int, keys array<bigint>, sig binary")
+                ids, lists = [i for i, _ in kept], [w for _, w in kept]
+                h, sizes, starts = _occurrences(lists)
+                bags = [_hash_text(" ".join(w)) for w in lists]
+                bit = np.uint64(1) << (h >> np.uint64(58))
+                side = (h >> np.uint64(57)) & np.uint64(1) == 1
+                x, y = (np.bitwise_xor.reduceat(np.where(side == s, bit, np.uint64(0)), starts) for s in (False, True))
+                counts = cells[(h % np.uint64(WIDTH)).astype(np.int64)]
+                order = np.lexsort((h, counts, np.repeat(np.arange(len(sizes)), sizes)))
+                text, key = _keys(h[order], counts[order], sizes, starts, np.ceil(threshold * sizes - 1e-9).astype(np.int64), total, hot)
+                by = np.argsort(text, kind="stable")
+                keys = np.split(key[by].view(np.int64), np.cumsum(np.bincount(text, minlength=len(sizes)))[:-1])
+                yield pd.DataFrame({id_col: pd.Series(ids, dtype=pdf[id_col].dtype), "bag": np.array(bags, np.uint64).view(np.int64), "size": sizes.astype(np.int32), "keys": keys, "x": x.view(np.int64), "y": y.view(np.int64)})
+
+    return df.select(id_col, text_col).where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).mapInPandas(run, f"`{id_col}` {kind}, bag bigint, size int, keys array<bigint>, x bigint, y bigint")
 
 
 def _hash_text(text: str) -> int:
@@ -134,36 +127,6 @@ def _hash_text(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text)
 
 
-@lru_cache(maxsize=4096)
-def _least_matches(needed: int, miss: float) -> tuple[int, ...]:
-    """For a similarity of needed/1000: the fewest matches after each batch at which the posterior chance of reaching it is at least `miss`.
-    The posterior is taken over a grid under a uniform prior; one byte a hash adds chance matches of 1/256."""
-    grid = np.linspace(0, 1, 401)
-    p = np.clip(grid + (1 - grid) / 256, 1e-9, 1 - 1e-9)
-    out = []
-    for n in range(BATCH, SIGNATURE + 1, BATCH):
-        m = np.arange(n + 1)[:, None]
-        like = m * np.log(p) + (n - m) * np.log(1 - p)
-        post = np.exp(like - like.max(axis=1, keepdims=True))
-        chance = post[:, grid >= needed / 1000].sum(axis=1) / post.sum(axis=1)
-        out.append(int(np.argmax(chance >= miss)) if (chance >= miss).any() else n + 1)
-    return tuple(out)
-
-
-def _survives(a: bytes, b: bytes, size_a: int, size_b: int, threshold: float, miss: float) -> bool:
-    long, short = max(size_a, size_b), min(size_a, size_b)
-    shared = math.ceil(threshold * long - 1e-9)
-    if shared > short:
-        return False
-    least = _least_matches(int(1000 * shared / (long + short - shared)), miss)
-    matches = 0
-    for k in range(0, SIGNATURE, BATCH):
-        matches += sum(x == y for x, y in zip(a[k : k + BATCH], b[k : k + BATCH]))
-        if matches < least[k // BATCH]:
-            return False
-    return True
-
-
 def share_of_longer(a: str, b: str) -> float:
     """Words that both have, as multisets, against the longer one's."""
     from collections import Counter
@@ -172,31 +135,19 @@ def share_of_longer(a: str, b: str) -> float:
     return sum((Counter(x) & Counter(y)).values()) / max(len(x), len(y), 1)
 
 
-def near_duplicates(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.8, recall: float = 0.96, miss: float = 1e-4, hashes: int = 48) -> tuple[DataFrame, DataFrame]:
-    """(members, links): members (id, rep) of every text with words; links (a, b, share), a < b, between representatives.
-    `recall` is that of the banding at a weighted similarity of 0.7, where some texts lie whose edits touch a tenth of their
-    words; for most it is higher (see the collision curve in `common`)."""
-    bands, rows = tune_bands(0.7, recall, hashes)
-    base = materialize(_signatures(df, id_col, text_col, bands, rows))
-    members = base.groupBy("bag", "size").agg(F.min(id_col).alias("rep"))
-    members_of = materialize(base.select(id_col, "bag", "size").join(members, ["bag", "size"]).select(id_col, "rep"))
-    reps = base.join(members_of.where(F.col(id_col) == F.col("rep")).select(id_col), id_col, "left_semi").select(F.col(id_col).alias("id"), "size", "keys", "sig")
-    keyed = reps.select("id", "size", F.explode("keys").alias("key"))
-    hot = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("key"))
-    if not hot.isEmpty():
-        longer = reps.select("id", "size", "sig", F.explode("keys").alias("key")).join(hot, "key", "left_semi")
-        longer = longer.select("id", "size", F.explode(F.array(*(F.xxhash64("key", F.lit(k), F.substring("sig", 3 * k + 1, 3)) for k in range(8)))).alias("key"))
-        keyed = keyed.join(hot, "key", "left_anti").select("id", "size", "key").unionByName(longer)
-    a, b = keyed.select(F.col("id").alias("a"), F.col("size").alias("sa"), "key"), keyed.select(F.col("id").alias("b"), F.col("size").alias("sb"), "key")
-    candidates = a.join(b, "key").where((F.col("a") < F.col("b")) & (F.least("sa", "sb") >= F.greatest("sa", "sb") * threshold)).select("a", "b", "sa", "sb").distinct()
-    sig = reps.select("id", "sig")
-
-    @F.pandas_udf("boolean")
-    def survives(x: pd.Series, y: pd.Series, sx: pd.Series, sy: pd.Series) -> pd.Series:
-        return pd.Series([_survives(a, b, p, q, threshold, miss) for a, b, p, q in zip(x, y, sx, sy)], dtype=bool)
-
-    pairs = candidates.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("x")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("y")), "b")
-    pairs = pairs.where(survives("x", "y", "sa", "sb")).select("a", "b")
+def near_duplicates(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.8, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+    """(members, links): members (id, rep) of every text with words; links (a, b, share), a < b, between representatives: all there are."""
+    sized = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    base = materialize(_signatures(sized, "id", "text", threshold, hot))
+    members = base.groupBy("bag", "size").agg(F.min("id").alias("rep"))
+    members_of = materialize(base.select("id", "bag", "size").join(members, ["bag", "size"]).select(F.col("id").alias(id_col), "rep"))
+    reps = base.join(members_of.where(F.col(id_col) == F.col("rep")).select(F.col("rep").alias("id")), "id", "left_semi")
+    keyed = reps.select(F.explode("keys").alias("key"), "id", "size", "x", "y")
+    a, b = (keyed.select("key", *(F.col(c).alias(c + side) for c in ("id", "size", "x", "y"))) for side in "ab")
+    needed = F.ceil(threshold * F.greatest("sizea", "sizeb") - 1e-9)
+    differ = F.bit_count(F.col("xa").bitwiseXOR(F.col("xb"))) + F.bit_count(F.col("ya").bitwiseXOR(F.col("yb")))
+    alike = (F.col("ida") < F.col("idb")) & (F.least("sizea", "sizeb") >= needed) & (differ <= F.col("sizea") + F.col("sizeb") - 2 * needed)
+    pairs = a.join(b, (a["key"] == b["key"]) & alike).select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct()
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     @F.pandas_udf("double")

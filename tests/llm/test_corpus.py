@@ -136,6 +136,20 @@ def test_near_duplicates_against_brute_force(spark):
     assert empty.count() == none.count() == 0
 
 
+def test_near_duplicates_miss_no_spread_edits(spark):
+    rnd = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(300)]
+    base = [[rnd.choice(vocabulary) for _ in range(50)] for _ in range(100)]
+    spread = [[x if n % 5 else f"z{rnd.randrange(90)}" for n, x in enumerate(w)] for w in base]  # every fifth word is another
+    order = [rnd.sample(w[:-1] + ["z1"], 50) for w in base]
+    rows = [(k, " ".join(w)) for k, w in enumerate(base + spread + order)]
+    bags = [Counter(t.split()) for _, t in rows]
+    true = {(a, b) for a in range(300) for b in range(a + 1, 300) if (bags[a] & bags[b]).total() >= 0.8 * 50}
+    for hot in (1, near_duplicates.HOT):  # keys of one to three words, and of one
+        members, links = near_duplicates.near_duplicates(spark.createDataFrame(rows, "i long, t string"), "i", "t", hot=hot)
+        assert {tuple(r) for r in near_duplicates.all_pairs(members, links, "i").collect()} == true and len(true) >= 200
+
+
 def test_matching_needs_the_country(spark):
     ref = spark.createDataFrame([(1, "Universidad Católica de Pelbencho (UCPEL)", "Peru", "Pelbencho"), (2, "Universidad Nacional de Zumelvia", "Chile", None)], "qs_id long, n string, c string, city string")
     rows = [("s", 1, "Universidad Catolica de Pelbencho", "Perú", None, None, ["ucpel.edu.pe.example"]), ("s", 2, "Universidad Católica de Pelbencho", "Chile", None, None, None), ("s", 3, "Facultad de Ciencias", None, "PE", None, ["https://www.ucpel.edu.pe.example/x"]), ("s", 4, None, None, None, None, [None]), ("s", 5, "U. Nacional de Zumelvia", None, None, None, [])]
