@@ -264,9 +264,15 @@ def link_graph_bfs(spark, d):
 
 @query()
 def html_extract(spark, d):
-    """Fragments of pages of a table and of course blocks built from the candidates."""
+    """Fragments of pages built from the candidates with their whole snippets: by turns a table, course blocks, and neither."""
     c = t(spark, d, "qise_candidates").where(F.col("evidence_snippet").isNotNull())
-    page = F.concat(F.lit("<html><title>x</title><nav>menu</nav><table><tr><th>a</th></tr><tr><td>"), F.coalesce("course_title", F.lit("-")), F.lit("</td><td>"), F.substring("evidence_snippet", 1, 60), F.lit("</td></tr></table></html>"))
+    escaped = lambda x: F.replace(F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    title, text = escaped(F.coalesce("course_title", F.lit("-"))), escaped(F.col("evidence_snippet"))
+    table = F.concat(F.lit("<table><tr><th>a</th></tr><tr><td>"), title, F.lit("</td><td>"), text, F.lit("</td></tr></table>"))
+    blocks = F.concat(F.lit("<div class='curso'><h2>"), title, F.lit("</h2><p>"), text, F.lit("</p></div>"))
+    plain = F.concat(F.lit("<p>"), title, F.lit("</p><p>"), text, F.lit("</p>"))
+    turn = F.pmod("candidate_id", F.lit(3))
+    page = F.concat(F.lit("<html><title>x</title><nav>menu</nav>"), F.when(turn == 0, table).when(turn == 1, blocks).otherwise(plain), F.lit("</html>"))
     return html.html_fragments(c.select(F.concat_ws("#", "source_url", F.col("candidate_id").cast("string")).alias("u"), page.alias("h")), "u", "h")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions import text as tx
 from sparkloom.functions import urls
 from sparkloom.operators import dedupe, essays, matching, rollup, seeds, stats
+from sparkloom.plans import catalog
 from sparkloom.sources import html, loaders
 
 
@@ -99,6 +100,16 @@ def test_html(spark):
     assert {r.href for r in html.html_links(df, "u", "h").collect()} == {"/plan.pdf", "https://x/doc"}
 
 
+def test_html_query_reads_whole_snippets_in_all_forms(spark, tmp_path):
+    text = "Temas: a < b & c > d; " + "computación cuántica y óptica " * 10 + "fin"
+    rows = [(k, "http://u", f"Curso {k}", text) for k in range(3)] + [(3, "http://u", None, text), (4, "http://u", None, None)]
+    spark.createDataFrame(rows, "candidate_id long, source_url string, course_title string, evidence_snippet string").write.parquet(f"{tmp_path}/qise_candidates.parquet")
+    out = {r.source_url: r for r in catalog.queries()["html_extract"](spark, str(tmp_path)).collect()}
+    assert {k: (r.raw_text, r.coarse) for k, r in out.items()} == {
+        "http://u#0": (f"Curso 0 | {text}", False), "http://u#1": (f"Curso 1 {text}", False), "http://u#2": (f"Curso 2\n{text}", True), "http://u#3": (f"- | {text}", False),
+    }
+
+
 def test_sitemaps(spark):
     xml = "<urlset><url><loc>https://u.edu/a</loc></url><url><loc> https://u.edu/sitemap-posts.xml </loc></url><loc>ftp://x</loc></urlset>"
     assert one(spark, html.sitemap_urls(F.col("x")), x=xml) == ["https://u.edu/a", "https://u.edu/sitemap-posts.xml"]
