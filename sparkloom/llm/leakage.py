@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import words
+from .common import WORD, fold, words
 
 MAX_ITEM_WORDS = 200_000
 
@@ -103,10 +103,27 @@ class SuffixAutomaton:
                     size = length[s] if s > 0 else 0
         return {i: (x[0], x[2]) for i, x in found.items()}
 
-
-def find_leaks(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, item_id: str, item_text: str, min_words: int = 8) -> DataFrame:
-    """(id, item_id, longest_words, covered_words) for each text and item that share at least min_words consecutive words."""
-    spark, rows = docs.sparkSession, []
+    def covered(self, tokens: list[str]) -> list[bool]:
+        """Whether each word of the text lies in a run of at least min_words that an item has."""
+        nxt, link, length, least = self.next, self.link, self.length, self.min_words
+        state = run = done = 0
+        out = [False] * len(tokens)
+        for at, w in enumerate(tokens):
+            while state and w not in nxt[state]:
+                state = link[state]
+                run = length[state]
+            if w in nxt[state]:
+                state = nxt[state][w]
+                run += 1
+                if run >= least:
+                    for k in range(max(done, at - run + 1), at + 1):
+                        out[k] = True
+                    done = at + 1
+        return out
+
+
+def _blocks(items: DataFrame, item_id: str, item_text: str, min_words: int) -> list[list[tuple[int, list[str]]]]:
+    """Words of the items that can leak, in blocks of at most MAX_ITEM_WORDS."""
     blocks: list[list[tuple[int, list[str]]]] = [[]]
     count = 0
     for r in items.select(item_id, item_text).where(F.col(item_id).isNotNull()).toLocalIterator():
@@ -118,6 +135,13 @@ def find_leaks(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, it
             count = 0
         count += len(tokens)
         blocks[-1].append((r[0], tokens))
+    return blocks
+
+
+def find_leaks(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, item_id: str, item_text: str, min_words: int = 8) -> DataFrame:
+    """(id, item_id, longest_words, covered_words) for each text and item that share at least min_words consecutive words."""
+    spark = docs.sparkSession
+    blocks = _blocks(items, item_id, item_text, min_words)
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, `{item_id}` bigint, longest_words int, covered_words int"
     source = docs.select(id_col, text_col).where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
@@ -154,3 +178,60 @@ def remove_leaks(docs: DataFrame, id_col: str, leaks: DataFrame, min_words: int
     """The texts without those whose leaked runs reach min_words and cover more than max_covered words."""
     bad = leaks.where((F.col("longest_words") >= min_words) & (F.col("covered_words") > max_covered)).select(id_col).distinct()
     return docs.join(bad, id_col, "left_anti")
+
+
+def _places(text: str) -> tuple[list[str], list[tuple[int, int]]]:
+    """Folded words of a text with where each starts and ends in the text itself."""
+    folded = fold(text)
+    found = list(WORD.finditer(folded))
+    if len(folded) == len(text) and text.isascii():
+        return [m.group() for m in found], [m.span() for m in found]
+    origin = [k for k, c in enumerate(text) for _ in fold(c)] + [len(text)]  # marks that folding drops go with the letter before
+    return [m.group() for m in found], [(origin[m.start()], origin[m.end()]) for m in found]
+
+
+def leaked_spans(text: str, automata: list[SuffixAutomaton]) -> tuple[list[tuple[int, int]], float]:
+    """(start and end of each run to be cut, share of the words they cover). What is left has no run either, also across a cut."""
+    tokens, places = _places(text)
+    kept, gone = list(range(len(tokens))), [False] * len(tokens)
+    while kept:
+        flags = [any(x) for x in zip(*(a.covered([tokens[k] for k in kept]) for a in automata))]
+        if not any(flags):
+            break
+        for k, bad in zip(kept, flags):
+            gone[k] = gone[k] or bad
+        kept = [k for k in kept if not gone[k]]
+    spans: list[tuple[int, int]] = []
+    for k, bad in enumerate(gone):
+        if bad:
+            if k and gone[k - 1]:
+                spans[-1] = (spans[-1][0], places[k][1])
+            else:
+                spans.append(places[k])
+    return spans, sum(gone) / max(1, len(gone))
+
+
+def cut_leaks(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, item_id: str, item_text: str, min_words: int = 8, max_share: float = 0.5) -> DataFrame:
+    """(id, clean_text, spans, share): the texts without their leaked runs of at least min_words; spans (start, end) of these in the
+    text, share of its words. A text of which more than max_share is leaked is dropped whole; null texts stay null."""
+    shared = docs.sparkSession.sparkContext.broadcast((_blocks(items, item_id, item_text, min_words), min_words))
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        automata = [SuffixAutomaton(block, shared.value[1]) for block in shared.value[0]]
+        for pdf in batches:
+            out = []
+            for i, text in zip(pdf[id_col], pdf[text_col]):
+                spans, part = leaked_spans(text, automata) if text else ([], 0.0)
+                if part <= max_share:
+                    clean, at = text, 0
+                    if spans:
+                        clean = ""
+                        for start, end in spans:
+                            clean, at = clean + text[at:start], end
+                        clean += text[at:]
+                    out.append((i, clean, [{"start": a, "end": b} for a, b in spans], part))
+            cols = list(zip(*out)) if out else [[]] * 4
+            yield pd.DataFrame({id_col: pd.Series(cols[0], dtype=pdf[id_col].dtype), "clean_text": pd.Series(cols[1], dtype=object), "spans": pd.Series(cols[2], dtype=object), "share": pd.Series(cols[3], dtype=float)})
+
+    return docs.select(id_col, text_col).mapInPandas(run, f"`{id_col}` {kind}, clean_text string, spans array<struct<start:int,end:int>>, share double")

@@ -119,6 +119,11 @@ def p9_clean(spark: SparkSession, d: str) -> DataFrame:
     return leakage.remove_leaks(docs, "doc_id", leaks).select("doc_id")
 
 
+def p9_cut(spark: SparkSession, d: str) -> DataFrame:
+    """The documents without the runs that leak; those that are chiefly leaked are left out."""
+    return leakage.cut_leaks(_read(spark, d, "documents"), "doc_id", "text", _read(spark, d, "eval_items"), "item_id", "question").select("doc_id", "clean_text")
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return pii.find_pii(_read(spark, d, "documents"), "doc_id", "text").select("doc_id", "kind", "pii_value").distinct()
 
@@ -128,7 +133,7 @@ def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = "p1_found p2_found p2_clean p3_found p3_labels p4_found p4_body p5_found p5_restored p6_found p6_groups p7_found p7_matches p8_pack p9_found p9_clean p10_found p10_redacted"
+    names = "p1_found p2_found p2_clean p3_found p3_labels p4_found p4_body p5_found p5_restored p6_found p6_groups p7_found p7_matches p8_pack p9_found p9_clean p9_cut p10_found p10_redacted"
     return {n: globals()[n] for n in names.split()}
 
 

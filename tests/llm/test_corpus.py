@@ -203,6 +203,19 @@ def test_leaks_against_brute_force(spark):
     assert leakage.remove_leaks(a, "doc_id", got, min_words=4).count() == len(docs) - len({d for d, _ in want})
 
 
+def test_leaked_runs_are_cut_out(spark):
+    q = "uno dos tres cuatro cinco seis siete ocho nueve diez"
+    tail = "texto propio que sigue siendo bueno " * 5
+    docs = [(1, f"Ñandú e\u0301l. ¡Uno, DOS trés cuatro cinco seis siete ocho! {tail}"), (2, q), (3, None), (4, ""), (5, f"{tail}uno dos tres cuatro {q} cinco seis siete ocho"), (6, tail)]
+    a, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, q)], "item_id long, q string")
+    out = {r.doc_id: r for r in leakage.cut_leaks(a, "doc_id", "text", b, "item_id", "q").collect()}
+    assert set(out) == {1, 3, 4, 5, 6} and out[3].clean_text is None and out[4].clean_text == "" and out[6].clean_text == tail
+    assert out[1].clean_text == f"Ñandú e\u0301l. ¡! {tail}" and [docs[0][1][s.start : s.end] for s in out[1].spans] == ["Uno, DOS trés cuatro cinco seis siete ocho"]
+    assert out[5].clean_text.split() == tail.split()  # what the cut brings together is cut as well
+    clean = spark.createDataFrame([(r.doc_id, r.clean_text) for r in out.values()], "doc_id long, text string")
+    assert leakage.find_leaks(clean, "doc_id", "text", b, "item_id", "q").count() == 0
+
+
 PII = [
     ("email", "Escriba a ana-x.y+3@correo.uni.example. Gracias", "ana-x.y+3@correo.uni.example"),
     ("email", "Zap: bruno [arroba] uni.example hoy", "bruno [arroba] uni.example"),
