@@ -245,23 +245,32 @@ def stretches(lines: list[str], langs: list[str], leads, least_lead: float = 12.
     return page, [lang if lang != "und" and lead >= switch_lead else page for lang, lead in zip(langs, leads)]
 
 
-def line_languages(df: DataFrame, id_col: str, text_col: str, model: Identifier, foreign_only: bool = False) -> DataFrame:
-    """(id, line_no, page_lang, lang, confidence) of each non-blank line (counted from 1), or of those in another language than the page's."""
+def line_languages(df: DataFrame, id_col: str, text_col: str, model: Identifier, foreign_only: bool = False, pages: bool = False) -> DataFrame:
+    """(id, line_no, page_lang, lang, confidence) of each non-blank line (counted from 1), or of those in another language than the page's.
+    `pages` adds each page itself as line 0, null and blank ones as 'und'. A page's confidence is that of its lines of its language, over
+    the characters of all identified lines; a line that tells nothing has its page's, one too weak for another language what that leaves."""
     shared = df.sparkSession.sparkContext.broadcast(model)
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches):
         m = held(shared)
         for pdf in batches:
-            pages = [[(n, x) for n, x in enumerate(t.split("\n"), 1) if x.strip()] for t in pdf[text_col]]
-            langs, confidence, lead = m.identify([x for p in pages for _, x in p])
+            texts = [[(n, x) for n, x in enumerate((t or "").split("\n"), 1) if x.strip()] for t in pdf[text_col]]
+            langs, confidence, lead = m.identify([x for p in texts for _, x in p])
             out, at = [], 0
-            for i, numbered in zip(pdf[id_col], pages):
+            for i, numbered in zip(pdf[id_col], texts):
                 end = at + len(numbered)
                 page, own = stretches([x for _, x in numbered], langs[at:end], lead[at:end])
-                out += [(i, n, page, lang, conf) for (n, _), lang, conf in zip(numbered, own, confidence[at:end]) if not foreign_only or lang != page]
+                told = [(len(x), lang, conf) for (_, x), lang, conf in zip(numbered, langs[at:end], confidence[at:end]) if lang != "und"]
+                sure = sum(size * conf for size, lang, conf in told if lang == page) / max(1, sum(size for size, _, _ in told))
+                if pages:
+                    out.append((i, 0, page, page, sure))
+                for (n, _), lang, first, conf in zip(numbered, own, langs[at:end], confidence[at:end]):
+                    if not foreign_only or lang != page:
+                        out.append((i, n, page, lang, conf if lang == first else sure if first == "und" else 1 - conf))
                 at = end
             cols = list(zip(*out)) if out else [[]] * 5
             yield pd.DataFrame({id_col: pd.Series(cols[0], dtype=pdf[id_col].dtype), "line_no": pd.Series(cols[1], dtype="int64"), "page_lang": pd.Series(cols[2], dtype=object), "lang": pd.Series(cols[3], dtype=object), "confidence": pd.Series(cols[4], dtype=float)})
 
-    return df.select(id_col, text_col).where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).mapInPandas(run, f"`{id_col}` {kind}, line_no bigint, page_lang string, lang string, confidence double")
+    rows = df.select(id_col, text_col).where(F.col(id_col).isNotNull())
+    return (rows if pages else rows.where(F.col(text_col).isNotNull())).mapInPandas(run, f"`{id_col}` {kind}, line_no bigint, page_lang string, lang string, confidence double")

@@ -42,10 +42,14 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_labels(spark: SparkSession, d: str) -> DataFrame:
-    """Every snippet with its language and a confidence."""
+    """Every snippet, page (line 0) and line of a page with its language and a confidence."""
     model = langid.train(_read(spark, d, "documents"), "text", "lang")
     rows = _read(spark, d, "qise_candidates").select("candidate_id", "evidence_snippet")
-    return langid.identify_column(rows, "evidence_snippet", model).select("candidate_id", F.col("lang_found.lang").alias("lang"), F.round("lang_found.confidence", 6).alias("confidence"))
+    sure = F.round("confidence", 6).alias("confidence")
+    snippets = langid.identify_column(rows, "evidence_snippet", model).select(F.lit("qise_candidates").alias("rec_table"), F.col("candidate_id").alias("rec_id"), F.lit(0).cast("bigint").alias("line_no"), "lang_found.lang", "lang_found.confidence")
+    lines = langid.line_languages(_read(spark, d, "extracted_record"), "record_id", "raw_text", model, pages=True)
+    pages = lines.select(F.lit("extracted_record").alias("rec_table"), F.col("record_id").alias("rec_id"), "line_no", "lang", "confidence")
+    return snippets.unionByName(pages).select("rec_table", "rec_id", "line_no", "lang", sure)
 
 
 def _body_model(rec: DataFrame) -> boilerplate.BodyModel:
@@ -62,16 +66,21 @@ def p4_body(spark: SparkSession, d: str) -> DataFrame:
     return boilerplate.body_column(rec.select("record_id", "raw_text", "title", "source_type"), "raw_text", "title", "source_type", _body_model(rec)).select("record_id", "body")
 
 
+_SPOILT = [("extracted_record", "record_id", "raw_text"), ("qise_candidates", "candidate_id", "evidence_snippet")]
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    parts = [("extracted_record", "record_id", "raw_text"), ("qise_candidates", "candidate_id", "evidence_snippet")]
-    a, b = (mojibake.spoilt_rows(_read(spark, d, t), i, c).select(F.lit(t).alias("rec_table"), F.col(i).alias("rec_id")) for t, i, c in parts)
+    a, b = (mojibake.spoilt_rows(_read(spark, d, t), i, c).select(F.lit(t).alias("rec_table"), F.col(i).alias("rec_id")) for t, i, c in _SPOILT)
     return a.unionByName(b)
 
 
 def p5_restored(spark: SparkSession, d: str) -> DataFrame:
-    """The spoilt snippets with the text as far as it can be restored."""
-    rows = _read(spark, d, "qise_candidates").select("candidate_id", "evidence_snippet").where(F.col("evidence_snippet").rlike(mojibake.QUICK))
-    return mojibake.repair_column(rows, "evidence_snippet").where("restored.spoilt").select("candidate_id", F.col("restored.text").alias("restored_text"), F.col("restored.complete").alias("complete"))
+    """The spoilt pages and snippets with the text as far as it can be restored."""
+    parts = []
+    for table, key, text in _SPOILT:
+        rows = _read(spark, d, table).select(F.lit(table).alias("rec_table"), F.col(key).alias("rec_id"), text).where(F.col(text).rlike(mojibake.QUICK))
+        parts.append(mojibake.repair_column(rows, text).where("restored.spoilt").select("rec_table", "rec_id", F.col("restored.text").alias("restored_text"), F.col("restored.complete").alias("complete")))
+    return parts[0].unionByName(parts[1])
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

@@ -4,7 +4,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.llm import boilerplate, common, institutions, langid, leakage, mojibake, near_duplicates, packing, pii, repeated_lines
+from sparkloom.llm import boilerplate, common, institutions, langid, leakage, mojibake, near_duplicates, packing, pii, queries, repeated_lines
 
 
 def test_collision_curve():
@@ -112,6 +112,21 @@ def test_spoilt_rows(spark):
     assert [r.i for r in mojibake.spoilt_rows(df, "i", "t").collect()] == [1]
 
 
+def test_pages_are_restored_and_labelled_too(spark, tmp_path):
+    page = "\n".join([TEXTS["es"] * 2, "", TEXTS["en"] * 2, "123"])
+    spark.createDataFrame([(k * 10 + n, v * 3, k) for n in range(5) for k, v in enumerate(TEXTS.values())], "doc_id long, text string, k int").withColumn("lang", F.element_at(F.array(*map(F.lit, TEXTS)), F.col("k") + 1)).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "fÃ­sica"), (2, TEXTS["pt"]), (3, None)], "candidate_id long, evidence_snippet string").write.parquet(f"{tmp_path}/qise_candidates.parquet")
+    spark.createDataFrame([(1, page), (2, "línea\nfÃ­sica y Ã³ptica"), (3, None), (4, " ")], "record_id long, raw_text string").write.parquet(f"{tmp_path}/extracted_record.parquet")
+    restored = {tuple(r) for r in queries.p5_restored(spark, str(tmp_path)).collect()}
+    assert restored == {("qise_candidates", 1, "física", True), ("extracted_record", 2, "línea\nfísica y óptica", True)}
+    out = {(r.rec_table, r.rec_id, r.line_no): r for r in queries.p3_labels(spark, str(tmp_path)).collect()}
+    got = {n: out["extracted_record", 1, n] for n in (0, 1, 3, 4)}
+    assert [got[n].lang for n in (0, 1, 3, 4)] == [got[0].lang, "es", "en", got[0].lang] and got[0].lang in ("es", "en")
+    assert all(0 < r.confidence <= 1 for r in got.values()) and got[4].confidence == got[0].confidence < got[1].confidence
+    assert out["qise_candidates", 2, 0].lang == "pt" and {out["extracted_record", k, 0].lang for k in (3, 4)} == {"und"}
+    assert {k for k in out if k[1] in (3, 4)} == {("qise_candidates", 3, 0), ("extracted_record", 3, 0), ("extracted_record", 4, 0)}
+
+
 def test_near_duplicates_against_brute_force(spark):
     rnd = random.Random(1)
     vocabulary = [f"w{i}" for i in range(400)]
