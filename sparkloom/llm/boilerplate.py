@@ -66,7 +66,7 @@ class _Dom(HTMLParser):
 
 def leaves(text: str) -> list[tuple[int, str, int, list[str], int]]:
     """(number from 1, text, depth, attribute tokens, block) of each non-blank line, or text node of HTML."""
-    if _HTML.search(text[:5000]) and text.count("<") > 4:
+    if text.count("<") > 4 and _HTML.search(text):
         dom = _Dom()
         dom.feed(text)
         return [(n, *x) for n, x in enumerate(dom.leaves, 1)]
@@ -214,13 +214,8 @@ class BodyModel:
 
 
 def decode(blocks: list[int], odds: np.ndarray) -> list[bool]:
-    """Leaves to keep: a node is kept where the best choice below it gains, given that dropping it drops all below."""
-    gains: dict[int, float] = {}
-    for b, o in zip(blocks, odds):
-        gains[b] = gains.get(b, 0.0) + max(0.0, float(o))
-    if sum(gains.values()) <= 0:
-        return [False] * len(blocks)
-    return [gains[b] > 0 and float(o) > 0 for b, o in zip(blocks, odds)]
+    """Leaves to keep: those of positive odds. Inner nodes have no odds or costs of their own, so no block overrules a leaf."""
+    return [float(o) > 0 for o in odds]
 
 
 def train(df: DataFrame, text_col: str, title_col: str, type_col: str, sample: int = SAMPLE) -> BodyModel:

@@ -88,6 +88,11 @@ def test_html_leaves_carry_attributes():
     assert [(x[1], "@menu" in x[3], "@main" in x[3]) for x in found] == [("Inicio", True, False), ("Texto", False, True)]
 
 
+def test_html_is_seen_behind_a_long_preamble():
+    found = boilerplate.leaves("<!-- " + "x" * 6000 + " --><html><body><nav><a>Inicio</a></nav><div><p>Texto</p></div></body></html>")
+    assert [x[1] for x in found] == ["Inicio", "Texto"]
+
+
 CLEAN = ["La asignatura, NÃO «año» ¿sí? À la fin…", "revista «Велора 18» β→γ (Δ = 60 µm)", "nº85ª — Ñandú √2 · Γ(n) ± 3 °C", "ŠŽ-54 ƒ(x) ¬p ├── mod_81/guía", "ver?id=19&p?x", "PERTURBAÇÃ…"]
 
 
