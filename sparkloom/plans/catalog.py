@@ -480,7 +480,7 @@ def zscore_population(spark, d):
 @query()
 def kmeans_profiles(spark, d):
     e = t(spark, d, "lineitem").select(F.col("l_quantity").cast("double").alias("q"), F.col("l_discount").cast("double").alias("x"))
-    c, _ = stats.kmeans(stats.zscore(e, ["q", "x"]), ["z_q", "z_x"], 3, restarts=2)
+    c, _ = stats.kmeans(stats.zscore(e, ["q", "x"]), ["z_q", "z_x"], 3)
     return c.groupBy("cluster").agg(F.count("*").alias("n"), F.avg("q").alias("q"), F.avg("x").alias("x"))
 
 

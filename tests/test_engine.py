@@ -110,6 +110,14 @@ def test_html_query_reads_whole_snippets_in_all_forms(spark, tmp_path):
     }
 
 
+def test_kmeans_profiles_takes_the_ten_starts(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(float(k % 3), float(k % 2)) for k in range(12)], "l_quantity double, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    taken = []
+    monkeypatch.setattr(catalog.stats, "kmeans", lambda df, features, k, restarts=10: taken.append(restarts) or (df.selectExpr("*", "0 as cluster"), 0.0))
+    catalog.queries()["kmeans_profiles"](spark, str(tmp_path))
+    assert taken == [10]
+
+
 def test_sitemaps(spark):
     xml = "<urlset><url><loc>https://u.edu/a</loc></url><url><loc> https://u.edu/sitemap-posts.xml </loc></url><loc>ftp://x</loc></urlset>"
     assert one(spark, html.sitemap_urls(F.col("x")), x=xml) == ["https://u.edu/a", "https://u.edu/sitemap-posts.xml"]
