@@ -156,18 +156,41 @@ def test_near_duplicates_against_brute_force(spark):
     assert empty.count() == none.count() == 0
 
 
-def test_near_duplicates_miss_no_spread_edits(spark):
-    rnd = random.Random(4)
-    vocabulary = [f"w{i}" for i in range(300)]
-    base = [[rnd.choice(vocabulary) for _ in range(50)] for _ in range(100)]
-    spread = [[x if n % 5 else f"z{rnd.randrange(90)}" for n, x in enumerate(w)] for w in base]  # every fifth word is another
-    order = [rnd.sample(w[:-1] + ["z1"], 50) for w in base]
-    rows = [(k, " ".join(w)) for k, w in enumerate(base + spread + order)]
-    bags = [Counter(t.split()) for _, t in rows]
-    true = {(a, b) for a in range(300) for b in range(a + 1, 300) if (bags[a] & bags[b]).total() >= 0.8 * 50}
-    for hot in (1, near_duplicates.HOT):  # keys of one to three words, and of one
-        members, links = near_duplicates.near_duplicates(spark.createDataFrame(rows, "i long, t string"), "i", "t", hot=hot)
-        assert {tuple(r) for r in near_duplicates.all_pairs(members, links, "i").collect()} == true and len(true) >= 200
+@pytest.mark.parametrize("share,hot", [(0.8, near_duplicates.HOT), (0.85, 4), (0.9, near_duplicates.HOT), (0.95, near_duplicates.HOT)])
+def test_recall_of_near_duplicates_by_share(spark, share, hot):
+    """Scattered replacements, and all words in another order; small `hot`: every key is split into blocks."""
+    rnd = random.Random(int(share * 100))
+    vocabulary = [f"w{i}" for i in range(3000)]
+    rows = []
+    for k in range(150):
+        w = [rnd.choice(vocabulary) for _ in range(40)]
+        other = list(w)
+        for n in rnd.sample(range(40), round(40 * (1 - share))):
+            other[n] = f"z{rnd.randrange(3000)}"
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(rnd.sample(other, 40) if k % 2 else other))]
+    members, links = near_duplicates.near_duplicates(spark.createDataFrame(rows, "i long, t string"), "i", "t", hot=hot)
+    got = [tuple(r) for r in near_duplicates.all_pairs(members, links, "i", hot=2).collect()]
+    assert len(got) == len(set(got)) and all(b == a + 1 and a % 2 == 0 for a, b in got) and len(got) >= 0.9 * 150
+
+
+def test_copies_are_paired_by_blocks(spark):
+    df = spark.createDataFrame([(k, "uno dos tres cuatro") for k in range(30)], "i long, t string")
+    members, links = near_duplicates.near_duplicates(df, "i", "t")
+    assert links.count() == 0
+    got = sorted(tuple(r) for r in near_duplicates.all_pairs(members, links, "i", hot=4).collect())
+    assert got == [(a, b) for a in range(30) for b in range(a + 1, 30)]
+
+
+def test_posterior_bounds_keep_what_may_be_alike():
+    one, two = near_duplicates.posterior_bounds(1e-4)
+    assert one[30] <= two[30] <= 30 and two[0] == 0 and two[400] == 128 or two[400] > 80
+    rnd = random.Random(5)
+    lost = 0
+    for _ in range(2000):
+        cells = Counter(rnd.randrange(128) for _ in range(30))
+        odd = [c for c, n in cells.items() if n % 2]
+        lost += sum(c < 64 for c in odd) > one[30] or len(odd) > two[30]
+    assert lost <= 4
 
 
 def test_matching_needs_the_country(spark):
