@@ -181,7 +181,7 @@ def _alike(threshold: float, miss: float) -> Column:
     return (F.least("sizea", "sizeb") >= needed) & (first <= limit(one, 64)) & (both <= limit(two, 128))
 
 
-def _blocks(df: DataFrame, key: list[str], value: str, split: Column, side: str) -> DataFrame:
+def _blocks(df: DataFrame, value: str, split: Column, side: str) -> DataFrame:
     """Rows keyed by pairs of blocks: one of side a in block i goes to (i, j) for every j, one of side b in block j to (i, j) for every i.
     A key with split = 1 stays one group."""
     own, other = ("_i", "_j") if side == "a" else ("_j", "_i")
@@ -208,8 +208,9 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, threshold: float
     base = materialize(_signatures(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text", bands, rows))
     classes = base.groupBy("bag", "size").agg(F.min("id").alias("rep"))
     members_of = materialize(base.select("id", "bag", "size").join(classes, ["bag", "size"]).select(F.col("id").alias(id_col), "rep"))
-    reps = base.groupBy("bag", "size").agg(F.min_by(F.struct("id", "keys", "x", "y"), "id").alias("r")).select("r.id", "size", "r.keys", "r.x", "r.y")
-    reps = materialize(reps)
+    # The plan is that of large inputs at every size: sides that grow with the data are merged, never broadcast.
+    others = members_of.where(F.col(id_col) != F.col("rep")).select(F.col(id_col).alias("id"))
+    reps = materialize(base.join(others.hint("merge"), "id", "left_anti").select("id", "size", "keys", "x", "y"))
     keyed = reps.select(F.posexplode("keys").alias("band", "k"), "id", "size", "x", "y")
     keyed = keyed.select(F.shiftleft(F.col("band").cast("bigint"), 32).bitwiseOR(F.col("k").cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF))).alias("key"), "id", "size", "x", "y")
     # Keys are counted in WIDTH cells, which bounds what is broadcast; all keys of a cell that is far too full are split.
@@ -217,23 +218,30 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, threshold: float
     full = keyed.groupBy(cell.alias("cell")).agg(F.count("*").alias("n")).toPandas()
     limit = max(hot, int(4 * full["n"].mean())) if len(full) else hot
     full = full[full["n"] > limit]
+
+    def met(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+        # Every column is renamed: with none in common, both sides of a join with itself share one exchange.
+        a, b = (side.select(*(F.col(c).alias(c + s) for c in (*on, "id", "size", "x", "y"))) for side, s in ((left, "a"), (right, "b")))
+        both = a.join(b, [F.col(c + "a") == F.col(c + "b") for c in on])
+        return both.where((F.col("ida") < F.col("idb")) & _alike(threshold, miss)).select(F.col("ida").alias("a"), F.col("idb").alias("b"))
+
     if len(full):
-        heavy = df.sparkSession.createDataFrame([(int(c), int(math.ceil(n / limit))) for c, n in zip(full["cell"], full["n"])], "cell bigint, split bigint")
-        keyed = keyed.withColumn("cell", cell).join(F.broadcast(heavy), "cell", "left").withColumn("split", F.coalesce("split", F.lit(1).cast("bigint"))).drop("cell")
-        left, right = (_blocks(keyed, ["key"], "id", F.col("split"), s).drop("split") for s in "ab")
-        on = ["key", "_i", "_j"]
+        heavy = F.broadcast(df.sparkSession.createDataFrame([(int(c), int(math.ceil(n / limit))) for c, n in zip(full["cell"], full["n"])], "cell bigint, split bigint"))
+        keyed = keyed.withColumn("cell", cell)
+        light = keyed.join(heavy, "cell", "left_anti")
+        split = keyed.join(heavy, "cell")
+        pairs = met(light, light, ["key"]).unionByName(met(*(_blocks(split, "id", F.col("split"), s) for s in "ab"), ["key", "_i", "_j"]))
     else:
-        left = right = keyed
-        on = ["key"]
-    a, b = (side.select(*on, *(F.col(c).alias(c + s) for c in ("id", "size", "x", "y"))) for side, s in ((left, "a"), (right, "b")))
-    pairs = a.join(b, on).where((F.col("ida") < F.col("idb")) & _alike(threshold, miss)).select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct()
-    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+        pairs = met(keyed, keyed, ["key"])
+    pairs = pairs.distinct()
+    pairs = materialize(pairs)
+    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().hint("merge"), "id", "left_semi")
 
     @F.pandas_udf("double")
     def share(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([share_of_longer(a, b) for a, b in zip(x, y)], dtype=float)
 
-    links = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
+    links = pairs.hint("merge").join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").hint("merge").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
     links = links.select("a", "b", share("x", "y").alias("share")).where(F.col("share") >= threshold)
     return members_of, links
 
@@ -244,7 +252,7 @@ def all_pairs(members: DataFrame, links: DataFrame, id_col: str, hot: int = HOT)
     across = links.select("a", "b").join(m.select(F.col("rep").alias("a"), F.col("i").alias("x")), "a").join(m.select(F.col("rep").alias("b"), F.col("i").alias("y")), "b").select("x", "y")
     several = m.groupBy("rep").agg(F.count("*").alias("n")).where("n > 1").select("rep", F.ceil(F.col("n") / hot).alias("split"))
     own = m.join(several, "rep")
-    x, y = (_blocks(own, ["rep"], "i", F.col("split"), s).select("rep", "_i", "_j", F.col("i").alias(v)) for s, v in (("a", "x"), ("b", "y")))
+    x, y = (_blocks(own, "i", F.col("split"), s).select("rep", "_i", "_j", F.col("i").alias(v)) for s, v in (("a", "x"), ("b", "y")))
     within = x.join(y, ["rep", "_i", "_j"]).where("x < y").select("x", "y")
     return across.unionByName(within).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
