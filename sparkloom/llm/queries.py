@@ -134,11 +134,13 @@ def p9_cut(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return pii.find_pii(_read(spark, d, "documents"), "doc_id", "text").select("doc_id", "kind", "pii_value").distinct()
+    docs = _read(spark, d, "documents")
+    return pii.find_pii(docs, "doc_id", "text", pii.learn_names(docs, "text")).select("doc_id", "kind", "pii_value").distinct()
 
 
 def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
-    return pii.redact(_read(spark, d, "documents").select("doc_id", "text"), "text").select("doc_id", "redacted_text")
+    docs = _read(spark, d, "documents").select("doc_id", "text")
+    return pii.redact(docs, "text", learnt=pii.learn_names(docs, "text")).select("doc_id", "redacted_text")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

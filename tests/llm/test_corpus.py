@@ -287,6 +287,38 @@ def test_no_pii():
         assert pii.scanner().spans(text) == []
 
 
+def test_people_unknown_by_name_are_found_behind_cues(monkeypatch):
+    """Held out: no given name is known; nine of ten people must be found by what stands before them."""
+    monkeypatch.setattr(pii, "GIVEN", [])
+    scan, rnd = pii.Scanner(), random.Random(6)
+    syllable = lambda: rnd.choice("bcdfglmnprstv") + rnd.choice("aeiouáé")
+    word = lambda: (syllable() + syllable() + syllable()).capitalize()
+    cues = ["Contacto: ", "pregunte por ", "Firmado por ", "meu nome é ", "(titular ", "The coordinator, ", "Signé par ", "ask for the Dr. ", "a nombre de "]
+    found = total = 0
+    for k in range(300):
+        first, last = word(), word()
+        name = [f"{first} {last}", f"{last}, {first}", f"{last.upper()} {first}", f"{first} A. {last}", f"{first.upper()} {last.upper()}", f"{first} {word()} {last}"][k % 6]
+        text = f"El curso sigue. {rnd.choice(cues)}{name}, quien responde."
+        found += ("person", name) in [(kind, text[s:e]) for s, e, kind in scan.spans(text)]
+        total += 1
+    assert found >= 0.9 * total
+    assert not any(k == "person" for t in ("Contacto: Facultad de Ciencias", "a nombre de la Universidad Nacional", "Contact: Graduate School Office") for _, _, k in scan.spans(t))
+
+
+def test_names_are_learnt_from_all_texts(spark):
+    df = spark.createDataFrame([(k, f"Firmado por Ximena {x}.") for k, x in enumerate(("Pereyra", "Vargas", "Montes"))] + [(9, "Ayer Ximena Robles habló con Iker Robles."), (10, None)], "i long, t string")
+    learnt = pii.learn_names(df, "t")
+    assert learnt == ("Ximena",)
+    out = {(r.i, r.pii_value) for r in pii.find_pii(df, "i", "t", learnt).collect() if r.kind == "person"}
+    assert out == {(0, "Ximena Pereyra"), (1, "Ximena Vargas"), (2, "Ximena Montes"), (9, "Ximena Robles")}
+
+
+def test_check_digits():
+    found = lambda t: [t[s:e] for s, e, k in pii.scanner().spans(t) if k == "national_id"]
+    assert found("n 529.982.247-25 y 12.345.678-5") == ["529.982.247-25", "12.345.678-5"]
+    assert found("n 529.982.247-24 y 12.345.678-4") == [] and found("CPF 111.111.111-11") == [] and found("CPF 529.982.247-24") == ["529.982.247-24"]
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "DNI 35.718.887-4 de Tomás Ropalda"), (2, None), (3, "")], "i long, t string").withColumn("kind", F.lit("clash"))
     assert [r.redacted_text for r in pii.redact(df, "t").orderBy("i").collect()] == ["DNI [NATIONAL_ID] de [PERSON]", None, ""]
