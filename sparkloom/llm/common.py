@@ -10,6 +10,7 @@ import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _MARKS = re.compile("[̀-ͯ]+")
 WORD = re.compile(r"\w+")
@@ -90,3 +91,13 @@ class WordHashes(dict):
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
+
+
+def hash_sample(df: DataFrame, columns: list[str], size: int) -> DataFrame:
+    """The `size` rows of the least hash of those columns, the same on every run. A threshold that about twice as many pass is applied
+    before the sort, so that no task or driver gathers more than that however many partitions there are."""
+    n = df.count()
+    hashed = df.withColumn("h", F.xxhash64(*columns))
+    if n > 2 * size + 1000:
+        hashed = hashed.where(F.col("h") < int(-(2**63) + 2**64 * (2 * size + 1000) / n))
+    return hashed.orderBy("h", *columns).limit(size)

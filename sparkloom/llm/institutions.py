@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, materialize, mix64, seeds, tune_bands
+from .common import fold, hash_sample, materialize, mix64, seeds, tune_bands
 from .gbt import Logistic
 
 BLOCK = 50_000
@@ -573,7 +573,7 @@ def match_records(records: DataFrame, ref: DataFrame, id_col: str, ref_name: str
     """(id, rec_table, rec_id, confidence): the institution of each record (rec_table, rec_id, institution, country, country_code, city, urls).
     Acronyms and hosts are learnt from all records; sample_from: records of the same columns, of which at most `sample`, chosen by hash, fit the classifier."""
     spark = records.sparkSession
-    rows = sample_from.where(F.col("institution").isNotNull()).orderBy(F.xxhash64("rec_id", "institution")).limit(sample).collect()
+    rows = hash_sample(sample_from.where(F.col("institution").isNotNull()), ["rec_id", "institution"], sample).collect()
     names = materialize(records.select(F.col("institution").alias("spelling")).where(F.trim("spelling") != "").distinct())
     fitted = [(r["institution"], r["country"], r["country_code"], r["city"], list(r["urls"] or [])) for r in rows]
     parts = []

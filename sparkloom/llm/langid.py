@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import hash_sample
+
 LANGUAGES = ["es", "pt", "en", "fr"]
 SAMPLE = 300
 ORDER = 5
@@ -190,11 +192,8 @@ class Identifier:
 
 def train(df: DataFrame, text_col: str, label_col: str, sample: int = SAMPLE) -> Identifier:
     """From at most `sample` labelled texts a language, the first by hash of the text: the same on every run."""
-    from pyspark.sql import Window
-
     rows = df.select(F.col(text_col).alias("t"), label(F.col(label_col)).alias("l")).where(F.col("l").isNotNull() & (F.length(F.trim("t")) > 200))
-    rows = rows.withColumn("h", F.xxhash64("t"))
-    parts = [rows.where(F.col("l") == x).orderBy("h").limit(sample) for x in LANGUAGES]
+    parts = [hash_sample(rows.where(F.col("l") == x), ["t"], sample) for x in LANGUAGES]
     union = parts[0]
     for p in parts[1:]:
         union = union.unionAll(p)

@@ -77,10 +77,41 @@ def test_body(spark):
 
 
 def test_decoding_is_hierarchical():
+    import itertools
+
     import numpy as np
 
-    assert boilerplate.decode([0, 0, 1], np.array([1.0, -1.0, -2.0])) == [True, False, False]
-    assert boilerplate.decode([0], np.array([-1.0])) == [False]
+    arr = lambda *v: np.array(v)
+    # page 0, blocks 1 and 2: block 1 overrules its stray positive line, block 2 keeps the good line only
+    got = boilerplate.decode(arr(0, 0, 0), arr(0, 1, 1), arr(0.5, -4.0, 1.0), arr(1, 1, 2, 2), arr(1.5, -3.0, 2.0, -1.0))
+    assert got.tolist() == [False, False, True, False]
+    assert not boilerplate.decode(arr(0, 0), arr(0, 1), arr(-9.0, 1.0), arr(1), arr(3.0)).any()
+    rnd = np.random.default_rng(3)
+    for _ in range(60):  # against every consistent set
+        parents, depths = [0, 0, 0, 1, 2], [0, 1, 1, 2, 2]
+        odds, leaf_parent, leaf = rnd.normal(0, 2, 5), rnd.integers(0, 5, 6), rnd.normal(0, 2, 6)
+        best = None
+        for kept in itertools.product([0, 1], repeat=11):
+            nodes, own = kept[:5], kept[5:]
+            if all(not nodes[k] or k == 0 or nodes[parents[k]] for k in range(5)) and all(not o or nodes[p] for o, p in zip(own, leaf_parent)):
+                total = sum(o for o, k in zip(odds, nodes) if k) + sum(o for o, k in zip(leaf, own) if k)
+                if best is None or total > best[0] + 1e-12:
+                    best = (total, own)
+        assert boilerplate.decode(np.array(parents), np.array(depths), odds, leaf_parent, leaf).tolist() == [bool(k) for k in best[1]]
+
+
+def test_html_pages_are_learnt_by_their_attributes(spark):
+    pdf = [("La asignatura estudia la física %d con ejemplos.\n%s | Curso | 4 créditos" % (i, i), "", "pdf") for i in range(60)]
+    page = "<html><body><div class='nav top'><ul><li><a>Inicio</a></li><li><a>Biblioteca %d</a></li></ul></div><div class='main'><h1>Tema %d</h1><p>La asignatura estudia la física %d con ejemplos.</p></div></body></html>"
+    m = boilerplate.BodyModel(pdf + [(page % (i, i, i), f"Tema {i}", "web") for i in range(60)])
+    kept = {x for _, x, keep, _ in m.classify([(page % (7, 7, 7), "Tema 7")])[0] if keep}
+    assert kept == {"Tema 7", "La asignatura estudia la física 7 con ejemplos."}
+
+
+def test_samples_are_bounded_and_the_same(spark):
+    df = spark.range(20_000).withColumn("t", F.col("id").cast("string"))
+    one, two = (sorted(r.id for r in common.hash_sample(x, ["t"], 50).collect()) for x in (df, df.repartition(7)))
+    assert one == two and len(one) == 50 and common.hash_sample(df.limit(3), ["t"], 50).count() == 3
 
 
 def test_html_leaves_carry_attributes():
