@@ -1,10 +1,12 @@
 """Names of institutions typed by people: variant spellings, and records of other tables that mean the same institution.
 
 A name is parsed into the kind of institution (words of four languages, their abbreviations and misspellings), the words
-left over (its proper name) and possible acronyms. Proper names of the reference list are put into MinHash bands over
-padded q-grams, with bands tuned from the collision curve; a query's words meet the reference words of their buckets and
-are verified by Monge-Elkan similarity with Damerau-Levenshtein inside. Records of the list that name one institution,
-and all spellings, form stars around the record with the lowest id.
+left over (its proper name) and possible acronyms. All words of the proper names of the reference list are put into MinHash
+bands over padded q-grams, with bands tuned from the collision curve; a query's words meet the reference words of their
+buckets and are verified by Monge-Elkan similarity over all words of the record, weighted by their rarity in the list, with
+Damerau-Levenshtein inside. A record whose name is made of common words alone (a country, 'Norte') is indexed by these and
+found by the same kind and words only. Records of the list that name one institution, and all spellings, form stars around
+the record with the lowest id; names that each have a word the other lacks aren't one.
 
 The reference list goes to the workers in blocks of at most BLOCK records (usually one), so its size is bounded; the
 other table is never shuffled by name, so a spelling that holds a third of all rows makes no hot task.
@@ -49,6 +51,10 @@ NOISE = set(
     "de del da do dos das of la el los las o a e the y and en em at facultad faculdade faculty ciencias sciences science dpto departamento department "
     "fisica physics esc escuela escola school posgrado graduate campus norte sede central main".split()
 )
+#: Those of them that never tell two names apart.
+FUNCTION = set("de del da do dos das of la el los las o a e the y and en em at".split())
+#: Least share of a record's words, by rarity, that a name must have.
+LEAST = 0.7
 # Names and codes of countries.
 COUNTRIES = {
     "AR": "argentina", "BO": "bolivia", "BR": "brasil brazil", "CL": "chile", "CO": "colombia", "CR": "costa rica|costarica", "EC": "ecuador",
@@ -106,19 +112,21 @@ def kind_of(token: str) -> str | None:
 
 
 class Parsed:
-    __slots__ = ("kinds", "words", "acronyms")
+    __slots__ = ("kinds", "words", "acronyms", "weak")
 
-    def __init__(self, kinds: frozenset[str], words: list[str], acronyms: list[str]) -> None:
-        self.kinds, self.words, self.acronyms = kinds, words, acronyms
+    def __init__(self, kinds: frozenset[str], words: list[str], acronyms: list[str], weak: frozenset[str] = frozenset()) -> None:
+        self.kinds, self.words, self.acronyms, self.weak = kinds, words, acronyms, weak
 
 
 def parse(name: str | None) -> Parsed:
-    """Kinds, words of the proper name, tokens that may be acronyms."""
-    kinds, words, acronyms = set(), [], []
-    text = _DOTTED.sub(lambda m: f" {m.group().replace('.', '')} ", fold(name or "")).replace("costa rica", " ")
+    """Kinds, words of the proper name, tokens that may be acronyms, and the weak words: common or short ones."""
+    kinds, words, acronyms, weak = set(), [], [], set()
+    text = _DOTTED.sub(lambda m: f" {m.group().replace('.', '')} ", fold(name or "")).replace("costa rica", " costarica ")
     tokens = _TOKEN.findall(text)
     for t in tokens:
         if t in NOISE or t in _COUNTRY:
+            if t not in FUNCTION and len(t) > 2:
+                weak.add(t)
             continue
         if t in _BY_CODE and t != "u":
             kinds |= _BY_CODE[t]
@@ -127,9 +135,11 @@ def parse(name: str | None) -> Parsed:
         elif len(t) >= 3:
             if len(t) >= 4:
                 words.append(t)
+            else:
+                weak.add(t)
             if len(t) <= 12:
                 acronyms.append(t)
-    return Parsed(frozenset(kinds), words, acronyms)
+    return Parsed(frozenset(kinds), words, acronyms, frozenset(weak))
 
 
 def grams(word: str, q: int = 2) -> list[str]:
@@ -148,20 +158,36 @@ class Index:
         self.acronym: dict[str, set[int]] = {}
         self.alien: set[str] = set()
         self.own: dict[int, set[str]] = {}
+        self.words_of: list[tuple[str, ...]] = []
+        self.weak_of: list[frozenset[str]] = []
+        self.weak_places: dict[str, list[int]] = {}
+        self._cities: dict[str, set[int]] = {}
         places: dict[str, list[int]] = {}
         for i, name, country, city in sorted(rows):
             p = parse(name)
             inside = re.search(r"\(([^)]*)\)", name or "")
             acronym = fold(inside.group(1)) if inside and _TOKEN.fullmatch(fold(inside.group(1))) else None
-            words = [w for w in p.words if w != acronym]
-            if not words:
-                continue
-            place = max(words, key=len)
+            words = list(dict.fromkeys(w for w in p.words if w != acronym))
+            code = CODES.get("".join(sorted(p.kinds)), "?")
+            beside = [a for a in words if a.startswith(code) and len(a) > len(code) + 1 and any(w != a and w.startswith(a[len(code) :]) for w in words)]
+            words = [w for w in words if w not in beside]
+            weak = p.weak - {acronym}
+            if not words and not weak and acronym is None and not p.kinds:
+                continue  # nothing but signs: such a name names nothing
+            place = max(words, key=len) if words else max(sorted(weak), key=len, default=acronym or "")
             n = len(self.ref)
             self.ref.append((i, p.kinds, country_code(country), fold(city) if city else None, place))
-            places.setdefault(place, []).append(n)
-            self.own[n] = {acronym} if acronym else set()
+            self.words_of.append(tuple(words))
+            self.weak_of.append(weak)
+            for w in words:
+                places.setdefault(w, []).append(n)
+            if not words:
+                for w in weak:
+                    self.weak_places.setdefault(w, []).append(n)
+            self.own[n] = {a for a in (acronym, *beside) if a}
         self.places = places
+        # Rarity of each word in the list.
+        self.rarity = {w: float(np.log(1 + len(self.ref) / len(ns))) for w, ns in places.items()}
         self.words: list[str] = []
         self.grams_of: list[frozenset[str]] = []
         self.bucket: dict[tuple[int, int], list[int]] = {}
@@ -173,8 +199,10 @@ class Index:
         self._acronyms()
         self.warm(set(self.words))
         for n, (_, kinds, country, _, place) in enumerate(self.ref):
-            near = [(m, s) for w, s in self.near(place) for m in self.places[self.words[w]]]
-            if not kinds:  # a record that is an acronym alone
+            near = [(m, s) for m, s in self.alike(self.words_of[n]).items() if self.one_way(n, m) >= 0.77 and not self.conflict(n, m)]
+            if not self.words_of[n]:
+                near = [(m, 1.0) for m in self.weak_places.get(place, ()) if self.weak_of[m] == self.weak_of[n]]
+            if not kinds and self.words_of[n]:  # a record that is an acronym alone
                 near += [(m, 1.0) for m in self.by_acronym(place)]
             for m, s in near:
                 c = self.centre[m]
@@ -192,6 +220,37 @@ class Index:
                 self.own[c] = self.own[c] | {self.ref[n][4]}
         self._acronyms()
 
+    def alike(self, words: tuple[str, ...] | list[str]) -> dict[int, float]:
+        """Monge-Elkan similarity of the records that share a word with these: each of the record's words against its best one, by rarity."""
+        met: dict[int, dict[str, float]] = {}
+        for w in words:
+            near = self.near(w)
+            alien = max((s for k, s in near if k in self.foreign), default=0.0)
+            for k, s in near:
+                if s < 1 and s <= alien:  # an unlisted place is as near
+                    continue
+                own = self.words[k]
+                for n in self.places[own]:
+                    best = met.setdefault(n, {})
+                    if s > best.get(own, 0.0):
+                        best[own] = s
+        return {n: self._mean(n, best) for n, best in met.items()}
+
+    def _mean(self, n: int, best: dict[str, float]) -> float:
+        own = self.words_of[n]
+        if len(own) == 1:
+            return best[own[0]]
+        return sum(self.rarity[w] * best.get(w, 0.0) for w in own) / sum(self.rarity[w] for w in own)
+
+    def one_way(self, n: int, m: int) -> float:
+        """Monge-Elkan similarity the other way round: record n's words against those of m."""
+        return self.alike(self.words_of[m]).get(n, 0.0)
+
+    def conflict(self, n: int, m: int) -> bool:
+        """Whether either name has a weak word that the other lacks, words of schools and subjects aside; countries count by code."""
+        a, b = ({_COUNTRY.get(w, w) for w in self.weak_of[x] if w not in NOISE or w in ("norte", "central")} for x in (n, m))
+        return bool(a - b and b - a)
+
     def _add(self, words: list[str]) -> None:
         first = len(self.words)
         self.words += words
@@ -284,28 +343,54 @@ class Index:
             self.warm({word})
         return self._kept[word]
 
-    def candidates(self, p: Parsed) -> list[tuple[int, float, float, bool]]:
-        """(record, similarity of the proper name, relation of the kinds, met by an acronym); centres only.
-        Monge-Elkan: each word of the record's proper name against its best word of the query; a record has one such word."""
-        best: dict[int, tuple[float, float, bool]] = {}
-        for w in p.words:
-            near = self.near(w)
-            alien = max((s for k, s in near if k in self.foreign), default=0.0)
-            for k, s in near:
-                if s < 1 and s <= alien:  # an unlisted place is as near
-                    continue
-                for n in self.places[self.words[k]]:
-                    c = self.centre[n]
-                    r = relation(p.kinds, self.ref[n][1])
-                    if c not in best or (r > 0, s, r) > (best[c][1] > 0, *best[c][:2]):
-                        best[c] = (s, r, False)
+    def candidates(self, p: Parsed) -> list[tuple[int, float, float, bool, float]]:
+        """(record, similarity of the proper name, relation of the kinds, met by an acronym, share of the name that the record explains);
+        centres only. By Monge-Elkan over all words of the record; names of weak words alone must have them all, and the kind."""
+        best: dict[int, tuple[float, float, bool, float]] = {}
+        size = max(1, len(p.words) + len(p.weak))
+        for m, s in self.alike(p.words).items():
+            if s < LEAST:
+                continue
+            c = self.centre[m]
+            r = relation(p.kinds, self.ref[m][1])
+            held = (len(self.words_of[m]) + len(self.weak_of[m] & p.weak) - 0.5 * len(self.weak_of[m] - p.weak)) / size
+            if c not in best or (r > 0, s, held, r) > (best[c][1] > 0, best[c][0], best[c][3], best[c][1]):
+                best[c] = (s, r, False, held)
+        if not p.words:
+            for m in {m for w in p.weak for m in self.weak_places.get(w, ())}:
+                if self.weak_of[m] <= p.weak and p.kinds == self.ref[m][1]:
+                    best[self.centre[m]] = (1.0, 1.0, False, len(self.weak_of[m]) / size)
         for a in p.acronyms:
             for n in self.by_acronym(a):
                 r = relation(p.kinds, self.ref[n][1])
                 s = max(best.get(n, (0.0,))[0], 0.95)
-                best[n] = (s, r if p.kinds and r else 0.9, True)
+                best[n] = (s, r if p.kinds and r else 0.9, True, 1.0)
         return [(n, *x) for n, x in best.items()]
 
+    def beside(self, p: Parsed, records: set[int]) -> list[tuple[int, float, float, bool, float]]:
+        """Candidates as above among records that the city or the web address names, for a name that no band brought: words may be
+        misspelt in up to a third of their letters, but none that is an unlisted place of its own."""
+        if not p.words or any(k in self.foreign and s == 1 for w in p.words for k, s in self.near(w)):
+            return []
+        out = []
+        for n in sorted(records):
+            own = self.words_of[n]
+            best = {}
+            for w in own:
+                most = max(1, len(w) // 3)
+                best[w] = max(0.0, *(1 - d / max(len(w), len(x)) if (d := distance(x, w, most)) <= most else 0.0 for x in p.words))
+            if own and (s := self._mean(n, best)) >= 0.66:
+                out.append((n, s, relation(p.kinds, self.ref[n][1]), False, len(own) / (len(p.words) + len(p.weak))))
+        return out
+
+    def in_city(self, city: str) -> set[int]:
+        """Centres whose record, or a record of their star, has that city."""
+        if not self._cities:
+            for n, c in enumerate(self.centre):
+                if self.ref[n][3]:
+                    self._cities.setdefault(self.ref[n][3], set()).add(c)
+        return self._cities.get(city, set())
+
     def by_acronym(self, a: str) -> set[int]:
         """Records an acronym can mean: those that have it; else the one whose kind and place begin with it, if only one does."""
         if a in self.acronym:
@@ -317,9 +402,9 @@ class Index:
         """(record, score) a name alone speaks for."""
         p = parse(name)
         out = None
-        for n, s, r, _ in sorted(self.candidates(p)):
+        for n, s, r, _, held in sorted(self.candidates(p)):
             if r > 0:
-                key = (r >= 0.9, round(s, 6), r)
+                key = (r >= 0.9, round(s, 6), held, r)
                 if out is None or key > out[0]:
                     out = (key, n, s * (0.5 + r / 2))
         return (out[1], out[2]) if out else None
@@ -368,7 +453,7 @@ def acronyms_beside_names(index: Index, names: list[str | None]) -> list[tuple[s
     for p in parsed:
         if len(p.acronyms) < 2 or not p.words:
             continue
-        for n, s, r, _ in index.candidates(p):
+        for n, s, r, _, _ in index.candidates(p):
             if s > 0.85 and r == 1.0:
                 code = CODES.get("".join(sorted(index.ref[n][1])), "?")
                 out += [(a, n) for a in p.acronyms if a.startswith(code) and len(a) > len(code) + 1 and index.ref[n][4].startswith(a[len(code) :])]
@@ -509,7 +594,7 @@ class Matcher:
                 continue
             meant = index.by_acronym(host[0])
             countries = self.countries(country, code)
-            for n, s, r, a in index.candidates(parse(name)):
+            for n, s, r, a, _ in index.candidates(parse(name)):
                 # Weak label: the address, which isn't among the features, says whether it is this record. A host abroad labels nothing.
                 right = n in meant and index.ref[n][2] == host[1]
                 if right or not meant or index.ref[n][2] != host[1]:
@@ -537,7 +622,7 @@ class Matcher:
             hosts = [h for h in map(host_of, urls) if h]
             folded = fold(city) if city else None
             found = kept[name]
-            if not p.words and not p.acronyms:
+            if not p.words and not p.acronyms and not found:
                 if p.kinds - {"U", "I"} and folded:  # a kind without a proper name: the city may be it
                     city_words = [w for w in _TOKEN.findall(folded) if len(w) >= 4]
                     found = [c for c in ix.candidates(Parsed(p.kinds, city_words, [])) if c[2] == 1.0]
@@ -550,18 +635,20 @@ class Matcher:
                     continue
             if not countries and hosts:
                 countries = {h[1] for h in hosts[:1]}
-            for n, s, r, a in found:
+            if p.words and not found:  # blocked by its other attributes
+                found = ix.beside(p, (ix.in_city(folded) if folded else set()).union(*(ix.by_acronym(label) for label, _ in hosts)))
+            for n, s, r, a, held in found:
                 f = features(ix, n, s, r, a, countries, folded)
                 if r == 0 or f[6] < 0:  # an exact check: another kind, or another country, is another institution
                     continue
                 if not a and 0 < r < 0.9 and hosts and any(ix.centre[m] != n and ix.ref[m][2] == h[1] and ix.ref[m][4] == ix.ref[n][4] for h in hosts for m in ix.by_acronym(h[0])):
                     continue  # a short name, and the address is that of another institution of the same place
-                at.append(k), x.append(f), who.append(n)
+                at.append(k), x.append(f), who.append((n, held))
         if x:
             prob = self.model.probability(np.array(x, float))
             rank: dict[int, tuple] = {}
-            for k, f, n, q in zip(at, x, who, prob):
-                key = (f[2], q, -n)
+            for k, f, (n, held), q in zip(at, x, who, prob):
+                key = (f[2], held, q, -n)
                 if q >= 0.5 and (k not in rank or key > rank[k][0]):
                     rank[k] = (key, n, float(q))
             for k, (_, n, q) in rank.items():

@@ -23,6 +23,26 @@ def test_spellings(spark):
     assert not {"Universidad", "", None, "Universidad Nacional de Rinutes", "Universidad de Zumelvia"} & set(out)
 
 
+def test_names_of_several_words(spark):
+    ref = [(1, "Universidad de San Andrés"), (2, "Universidad Andrés Bello"), (3, "Universidad de Chile"), (4, "Universidad Católica de Chile"), (5, "Universidade Federal do Rio Grande do Norte"), (6, "Universidade Federal do Rio Grande do Sul"), (7, "Universidad de Ica"), (8, "Universidad San Martín de Porres"), (9, "Universidad Martín Fierro"), (10, "U"), (11, "…")]
+    df = spark.createDataFrame([(i, n, None, None) for i, n in ref], "qs_id long, n string, c string, city string")
+    asked = {"Univ. de San Andres": 1, "U. Andres Bello": 2, "BELLO, Universidad Andrés": 2, "University of Chile": 3, "Catholic University of Chile": 4, "Univ. Federal do Rio Grande do Sul": 6, "Universidad de Ica": 7, "Universidad San Martin de Porres": 8, "Universidad Martin Fierro": 9}
+    names = spark.createDataFrame([(x,) for x in (*asked, "Universidad", "Facultad de Ciencias", "Universidad de Martín")], "institution string")
+    out = {r.spelling: r.qs_id for r in institutions.link_spellings(names, "institution", df, "qs_id", "n", "c", "city").collect()}
+    assert {k: out.get(k) for k in asked} == asked
+    assert {n: out.get(n) for i, n in ref if i < 10} == {n: i for i, n in ref if i < 10}
+    assert not {"Universidad", "Facultad de Ciencias", "Universidad de Martín"} & set(out)
+
+
+def test_city_and_address_bring_candidates(spark):
+    ref = spark.createDataFrame([(1, "Universidad Católica de Pelbencho (UCPEL)", "Peru", "Pelbencho"), (2, "Universidad Nacional de Zumelvia", "Chile", "Zumelvia")], "qs_id long, n string, c string, city string")
+    rows = [("s", 1, "Universidad Católica de Pbelenhco", "Perú", None, "Pelbencho", []), ("s", 2, "Universidad Católica de Pbelenhco", "Perú", None, None, ["ucpel.edu.pe.example"]), ("s", 3, "Universidad Católica de Marguva", "Perú", None, "Pelbencho", ["ucpel.edu.pe.example"])]
+    df = spark.createDataFrame(rows, "rec_table string, rec_id long, institution string, country string, country_code string, city string, urls array<string>")
+    good = df.limit(0).unionByName(spark.createDataFrame([("s", 9, "Universidad Católica de Pelbencho", "Perú", "PE", "Pelbencho", ["ucpel.edu.pe.example"])], df.schema))
+    out = {r.rec_id: r.qs_id for r in institutions.match_records(df, ref, "qs_id", "n", "c", "city", good).collect()}
+    assert 3 not in out and out.get(1) == out.get(2) == 1
+
+
 def test_distance_is_damerau():
     assert institutions.distance("abcd", "abdc", 2) == 1 and institutions.distance("abc", "xyz", 2) == 3
 
