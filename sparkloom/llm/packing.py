@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 20_000
+#: Passes of the local search, and how far one look reaches. They bound effort, not the input: whatever they leave stays packed as it was.
+PASSES, REACH = 12, 24
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pattern by which the public byte-level vocabulary splits texts before merging.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -56,21 +58,15 @@ class Bins:
         self.fill: list[int] = []
         self.order: list[tuple[int, int]] = []  # (free space, bin), sorted
 
-    def _reorder(self, b: int, fill: int) -> None:
-        del self.order[bisect.bisect_left(self.order, (self.capacity - self.fill[b], b))]
-        self.fill[b] = fill
-        bisect.insort(self.order, (self.capacity - fill, b))
-
-    def put(self, item: int, size: int, besides: int = -1) -> bool:
+    def put(self, item: int, size: int) -> bool:
         """Into the bin that it leaves fullest; False if none but a new one would do."""
         at = bisect.bisect_left(self.order, (size, -1))
-        if at < len(self.order) and self.order[at][1] == besides:
-            at += 1
         if at == len(self.order):
             return False
-        b = self.order[at][1]
+        free, b = self.order.pop(at)
         self.items[b].append(item)
-        self._reorder(b, self.fill[b] + size)
+        self.fill[b] += size
+        bisect.insort(self.order, (free - size, b))
         return True
 
     def open(self, item: int, size: int) -> None:
@@ -79,30 +75,22 @@ class Bins:
         bisect.insort(self.order, (self.capacity - size, len(self.items) - 1))
 
 
-def pack(sizes: list[int], capacity: int, patience: int = 64) -> list[int]:
-    """The bin of each item. Best fit in falling order; then each underfull bin, the emptiest first, gives its items away
-    (moves), or changes one or two of them for a smaller one of another underfull bin, which raises the squared fill, until
-    bins are empty or nothing helps for `patience` bins on end."""
+def best_fit(sizes: list[int], capacity: int) -> Bins:
     bins = Bins(capacity)
     for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
         if not bins.put(i, sizes[i]):
             bins.open(i, sizes[i])
-    idle, least = 0, math.ceil(sum(sizes) / capacity)
-    live = sum(1 for x in bins.items if x)
-    tried: set[int] = set()
-    while idle < patience and live > least:
-        b = next((b for free, b in reversed(bins.order) if bins.items[b] and b not in tried and free > 0), -1)
-        if b < 0:
+    return bins
+
+
+def pack(sizes: list[int], capacity: int, passes: int = PASSES, reach: int = REACH) -> list[int]:
+    """The bin of each item. Best fit in falling order; then local search (`_pass`) until a pass changes nothing, the bound is reached, or
+    `passes` are over. Each change raises the sum of squared fills, so the search ends; bins that become empty are gone."""
+    bins = best_fit(sizes, capacity)
+    least = math.ceil(sum(sizes) / capacity)
+    for _ in range(passes):
+        if sum(1 for x in bins.items if x) <= least or not _pass(bins, sizes, reach):
             break
-        tried.add(b)
-        before = bins.fill[b]
-        _drain(bins, b, sizes)
-        if not bins.items[b]:
-            live -= 1
-            tried.clear()
-            idle = 0
-        else:
-            idle += bins.fill[b] >= before
     where = [0] * len(sizes)
     for number, items in enumerate(x for x in bins.items if x):
         for i in items:
@@ -110,41 +98,68 @@ def pack(sizes: list[int], capacity: int, patience: int = 64) -> list[int]:
     return where
 
 
-def _drain(bins: Bins, b: int, sizes: list[int], others: int = 200) -> None:
-    """Moves and swaps that empty bin b into fuller ones; each raises the sum of squared fills."""
-    for i in sorted(bins.items[b], key=lambda i: -sizes[i]):
-        if bins.put(i, sizes[i], besides=b):
-            bins.items[b].remove(i)
-            bins._reorder(b, bins.fill[b] - sizes[i])
-    if not bins.items[b]:
-        return
-    for free, other in [x for x in bins.order if x[0] > 0 and x[1] != b and bins.items[x[1]]][-others:]:
-        free = bins.capacity - bins.fill[other]
-        best = None
-        mine = sorted(bins.items[b], key=lambda i: -sizes[i])[:24]
-        for y in bins.items[other]:
-            low, high = sizes[y], sizes[y] + free
-            for k, x in enumerate(mine):
-                if low < sizes[x] <= high and (best is None or sizes[x] - low > best[0]):
-                    best = (sizes[x] - low, [x], y)
-                for x2 in mine[k + 1 :]:
-                    two = sizes[x] + sizes[x2]
-                    if low < two <= high and (best is None or two - low > best[0]):
-                        best = (two - low, [x, x2], y)
-        if best and bins.fill[other] + best[0] > bins.fill[b]:
-            gain, xs, y = best
-            bins.items[other].remove(y)
-            bins.items[other] += xs
-            for x in xs:
-                bins.items[b].remove(x)
-            bins.items[b].append(y)
-            bins._reorder(other, bins.fill[other] + gain)
-            bins._reorder(b, bins.fill[b] - gain)
-            if bins.put(y, sizes[y], besides=b):
-                bins.items[b].remove(y)
-                bins._reorder(b, bins.fill[b] - sizes[y])
-            if not bins.items[b]:
-                return
+def _pass(bins: Bins, sizes: list[int], reach: int) -> int:
+    """Every underfull bin, the fullest first, takes what fills it best: an item of another bin (a move), one for one of its own, two of
+    another for one of its own, or one for two of its own, as long as that raises the sum of squared fills. `reach`: places of the sorted
+    sizes, and emptiest bins, that one look tries. Returns how many changes were made."""
+    cap, fill, items = bins.capacity, bins.fill, bins.items
+    order = sorted((b for b in range(len(fill)) if items[b] and fill[b] < cap), key=lambda b: (-fill[b], b))
+    at = {i: b for b in order for i in items[b]}
+    ranked = sorted(at, key=lambda i: (sizes[i], i))
+    ladder = [sizes[i] for i in ranked]
+    emptiest = order[::-1][:reach]
+    changes = 0
+
+    def fitting(low: int, high: int, b: int) -> int | None:
+        """The largest item of a size in (low, high] in another bin whose loss raises the sum of squares."""
+        k = bisect.bisect_right(ladder, high) - 1
+        for k in range(k, max(-1, k - reach), -1):
+            if ladder[k] <= low:
+                return None
+            i = ranked[k]
+            if at[i] != b and fill[b] + ladder[k] - low > fill[at[i]]:
+                return i
+        return None
+
+    for b in order:
+        while items[b] and fill[b] < cap:
+            free, best = cap - fill[b], (0, [], [])  # gain, items that come, items that go
+            if (i := fitting(0, free, b)) is not None:
+                best = (sizes[i], [i], [])
+            own = sorted(items[b], key=lambda i: sizes[i])
+            for n, x in enumerate(own):
+                if best[0] == free:
+                    break
+                for gone in ([x], *([x, z] for z in own[n + 1 : n + 1 + reach])):
+                    out = sum(sizes[g] for g in gone)
+                    if (i := fitting(out, out + free, b)) is not None and sizes[i] - out > best[0]:
+                        best = (sizes[i] - out, [i], gone)
+            if best[0] < free and len(own) <= reach:
+                for c in emptiest:
+                    if c == b or not items[c] or fill[c] > fill[b]:
+                        continue
+                    two = sorted(items[c], key=lambda i: sizes[i])[:reach]
+                    for n, y in enumerate(two):
+                        if best[0] < sizes[y] <= free:
+                            best = (sizes[y], [y], [])
+                        for z in two[n + 1 :]:
+                            both = sizes[y] + sizes[z]
+                            k = bisect.bisect_left(own, both - free, key=lambda i: sizes[i])
+                            if k < len(own) and best[0] < both - sizes[own[k]] <= free:
+                                best = (both - sizes[own[k]], [y, z], [own[k]])
+            gain, come, gone = best
+            if not gain:
+                break
+            c = at[come[0]]
+            for i in come:
+                items[c].remove(i), items[b].append(i)
+                at[i] = b
+            for i in gone:
+                items[b].remove(i), items[c].append(i)
+                at[i] = c
+            fill[b], fill[c] = fill[b] + gain, fill[c] - gain
+            changes += 1
+    return changes
 
 
 def pack_table(df: DataFrame, id_col: str, text_col: str, capacity: int = 2048, vocabulary: str = VOCABULARY, block: int = BLOCK) -> DataFrame:

@@ -34,13 +34,12 @@ def test_names_of_several_words(spark):
     assert not {"Universidad", "Facultad de Ciencias", "Universidad de Martín"} & set(out)
 
 
-def test_city_and_address_bring_candidates(spark):
-    ref = spark.createDataFrame([(1, "Universidad Católica de Pelbencho (UCPEL)", "Peru", "Pelbencho"), (2, "Universidad Nacional de Zumelvia", "Chile", "Zumelvia")], "qs_id long, n string, c string, city string")
-    rows = [("s", 1, "Universidad Católica de Pbelenhco", "Perú", None, "Pelbencho", []), ("s", 2, "Universidad Católica de Pbelenhco", "Perú", None, None, ["ucpel.edu.pe.example"]), ("s", 3, "Universidad Católica de Marguva", "Perú", None, "Pelbencho", ["ucpel.edu.pe.example"])]
-    df = spark.createDataFrame(rows, "rec_table string, rec_id long, institution string, country string, country_code string, city string, urls array<string>")
-    good = df.limit(0).unionByName(spark.createDataFrame([("s", 9, "Universidad Católica de Pelbencho", "Perú", "PE", "Pelbencho", ["ucpel.edu.pe.example"])], df.schema))
-    out = {r.rec_id: r.qs_id for r in institutions.match_records(df, ref, "qs_id", "n", "c", "city", good).collect()}
-    assert 3 not in out and out.get(1) == out.get(2) == 1
+def test_city_and_address_bring_candidates():
+    ix = institutions.Index([(1, "Universidad Católica de Pelbencho (UCPEL)", "Peru", "Pelbencho"), (2, "Universidad Nacional de Zumelvia", "Chile", "Zumelvia")])
+    bad = institutions.parse("Universidad Católica de Pbelenhco")
+    assert ix.candidates(bad) == [] and ix.in_city("pelbencho") == ix.by_acronym("ucpel") == {0}
+    assert [c[:1] + c[2:3] for c in ix.beside(bad, {0, 1})] == [(0, 1.0)]
+    assert ix.beside(institutions.parse("Universidad Católica de Marguva"), {0, 1}) == [] and ix.beside(institutions.parse(None), {0}) == []
 
 
 def test_distance_is_damerau():
@@ -279,6 +278,19 @@ def test_packing(spark):
     assert max(total.values()) <= 500 and packing.pack_table(df.limit(0), "i", "t").count() == 0
 
 
+@pytest.mark.parametrize("low,high,saved", [(500, 1000, 0.02), (400, 900, 0.02), (300, 1024, 0.01)])
+def test_swaps_beat_best_fit(low, high, saved):
+    rnd = random.Random(1)
+    sizes = [rnd.randint(low, high) for _ in range(1500)]
+    best_fit = packing.best_fit(sizes, 2048)
+    where = packing.pack(sizes, 2048)
+    fill = Counter()
+    for s, b in zip(sizes, where):
+        fill[b] += s
+    assert max(fill.values()) <= 2048 and len(where) == len(sizes)
+    assert len(fill) <= (1 - saved) * sum(1 for x in best_fit.items if x)
+
+
 def test_leaks_against_brute_force(spark):
     rnd = random.Random(3)
     vocabulary = [f"v{i}" for i in range(12)]
