@@ -93,3 +93,17 @@ CURRICULUM_URL = r"plan.?de.?estudio|malla|pensum|curricul|grade.?curricular|mat
 COURSE_URL = r"curso|course|syllabus|silabo|sílabo|asignatura|disciplina|programa|materia|pensum|ementa|catalogo|catalog|oferta.?academ|curricul|malla|grade.?curricular|matriz.?curricular|plano.?de.?ensino|posgrado|postgrado|graduate|undergraduate|graduacao|licenciatura|maestr[íi]a|mestrado|doutorado|doctorado|especializaci[oó]n|carrera|f[íi]sica|ingenier[íi]a|ciencias|computac|pregrado|plan.?de.?estudio"
 COURSE_ANCHOR = r"malla|plan de estudio|pensum|s[íi]labo|syllabus|programa|curr[íi]cul|grade curricular|matriz curricular|ementa|asignatura|disciplina|curso"
 LOW_URL = r"/(noticias?|news|blog|boletin|eventos?|events?|agenda|calendario|prensa|press|comunicado|galeria|gallery|admision(es)?|admissions?|vestibular|alumni|egresados|exalumnos|deportes?|sports|profesor|docentes?|staff|equipo|team|investigador|researcher|transparencia|licitacion|administrativ)"
+HARD_SKIP_URL = (
+    r"\.(jpg|jpeg|png|gif|svg|ico|mp4|mp3|zip|rar|exe|js|css|woff|woff2|ttf|eot)(\?.*)?$"
+    r"|/(login|logout|wp-admin|wp-login|search|tag|autor|author|comment|registro|register|password|reset|shop|contact|contacto|sitemap|privacidad|privacy|terminos|terms|rss|atom|newsletter|suscri)"
+    r"|/admin(?![a-z])|/cart(?![a-z])"
+)
+LEVEL_ALIASES = {"undergrad": "undergraduate", "bachelor": "undergraduate", "pregrado": "undergraduate", "masters": "graduate", "master": "graduate", "phd": "graduate", "doctorate": "graduate", "posgrado": "graduate", "postgrado": "graduate", "": "unknown"}
+CLASS_ORDER = ["qise_core", "quantum_foundations_or_adjacent", "unclear", "non_course_or_contextual"]
+#: Country attributes without a source of their own, of 2024: (code, THE rank, SCImago rank in physics, network member, national initiative, regional alliance member).
+COUNTRY_FACTS = [
+    ("AR", 601, 32, True, False, True), ("BR", 501, 13, True, False, True), ("CL", 601, 39, False, False, True), ("CO", 801, 47, False, False, True), ("MX", 601, 26, True, False, True),
+    ("PE", 1001, 62, False, False, False), ("VE", 1001, 71, False, False, False), ("UY", 1001, 58, False, False, False), ("CR", 1001, 78, False, False, False), ("EC", 1001, 85, False, False, False),
+    ("CU", 1001, 90, False, False, False),
+]
+INDICATORS = {"gdp_per_capita_usd": "NY.GDP.PCAP.CD", "rd_expenditure_pct_gdp": "GB.XPD.RSDV.GD.ZS", "internet_penetration_pct": "IT.NET.USER.ZS", "researchers_per_million": "SP.POP.SCIE.RD.P6"}

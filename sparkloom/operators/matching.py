@@ -108,14 +108,37 @@ def confidence(klass, source_type, strong, noncourse) -> Column:
     )
 
 
+# Notes of the rows that stand for documents nothing could be extracted from.
+NOTES = {
+    "needs_manual_review": "PDF opened but little/no extractable text (likely scanned or image-based) — manual review needed.",
+    "": "PDF could not be opened by any extraction engine.",
+}
+
+
+def manual_review(fragments: DataFrame, key: str) -> DataFrame:
+    """(key, columns of `classify`) of the fragments whose extraction_status isn't 'extracted': unclear, low, with a note."""
+    if "extraction_status" not in fragments.columns:
+        return fragments.limit(0).select(key)
+    has = lambda c: F.col(c) if c in fragments.columns else F.lit("")
+    status = F.coalesce("extraction_status", F.lit("extracted"))
+    return fragments.where(status != "extracted").select(
+        *fragments.columns, F.coalesce(has("academic_level_hint"), F.lit("")).alias("academic_level"), F.coalesce(has("fragment_title"), F.lit("")).alias("title"), F.lit("unclear").alias("classification"), F.lit("low").alias("confidence"),
+        F.when(status == "needs_manual_review", NOTES["needs_manual_review"]).otherwise(NOTES[""]).alias("evidence_snippet"), F.concat(F.lit("extraction_status="), status).alias("explanation"),
+        F.lit("").alias("phrase"), F.lit("").alias("category"), F.lit("").alias("tier"), F.array().cast("array<string>").alias("matched_keywords"),
+    )
+
+
 def classify(fragments: DataFrame, key: str, taxonomy=None) -> DataFrame:
-    """One row a fragment, category and line: class, confidence, level, title, snippet, matched terms.
-    fragments: key, raw_text, source_type, source_url, media_type; coarse if present. Fragments that could not be
-    extracted come out as unclear with low confidence."""
+    """One row a fragment, category and line: class, confidence, level, title, snippet, matched terms, explanation.
+    fragments: key, raw_text, source_type, source_url, media_type; coarse, extraction_status, academic_level_hint and fragment_title if
+    present. Fragments that could not be extracted come out as unclear with low confidence (`manual_review`)."""
     from pyspark.sql import Window
 
-    coarse = F.coalesce(F.col("coarse"), F.lit(False)) if "coarse" in fragments.columns else F.lit(False)
-    m = specific_over_generic(with_matches(fragments, "raw_text", taxonomy), key)
+    cols = fragments.columns
+    coarse = F.coalesce(F.col("coarse"), F.lit(False)) if "coarse" in cols else F.lit(False)
+    texts = fragments.where(F.col("raw_text").isNotNull() & (F.coalesce("extraction_status", F.lit("extracted")) == "extracted" if "extraction_status" in cols else F.lit(True)))
+    raw = F.col("raw_text")
+    m = specific_over_generic(with_matches(texts, "raw_text", taxonomy), key)
     folded, start, end = F.col("_folded"), F.col("start"), F.col("end")
     line_before = F.substring_index(F.substring(folded, F.lit(1), start), "\n", -1)
     m = m.where(~line_before.rlike(r"(prerrequisitos?|pre-?requisitos?|prerequisites?)\s*:"))
@@ -129,6 +152,31 @@ def classify(fragments: DataFrame, key: str, taxonomy=None) -> DataFrame:
     st = F.col("source_type")
     m = m.withColumn("classification", decide(F.col("tier"), st, coarse, F.col("strong"), F.col("weak"), F.col("noncourse"), F.col("s_strong"), F.col("s_noncourse")))
     m = m.withColumn("confidence", confidence(F.col("classification"), st, F.col("strong"), F.col("noncourse")))
-    url_text = F.regexp_replace(F.coalesce("source_url", F.lit("")), r"[-_/.+%?=&]+", " ")
-    level = F.coalesce(F.nullif(tx.academic_level(url_text), F.lit("")), F.nullif(tx.academic_level(window(F.col("raw_text"), start, end, 300)), F.lit("")), F.lit("unknown"))
-    return m.withColumn("academic_level", level).withColumn("evidence_snippet", snippet(F.col("raw_text"), start, end)).drop("_folded", "_w", "_s")
+    address = F.concat_ws(" ", *(F.col(c) for c in ("source_url", "pdf_url", "found_on_page") if c in cols))
+    url_text = F.regexp_replace(F.coalesce(address, F.lit("")), r"[-_/.+%?=&]+", " ")
+    hint = F.nullif(F.col("academic_level_hint"), F.lit("")) if "academic_level_hint" in cols else F.lit(None).cast("string")
+    level = F.coalesce(F.nullif(tx.academic_level(url_text), F.lit("")), F.nullif(tx.academic_level(window(raw, start, end, 300)), F.lit("")), hint, F.lit("unknown"))
+    m = m.withColumn("academic_level", level).withColumn("evidence_snippet", snippet(raw, start, end))
+    told = F.format_string("tier=%s cat=%s strong=%d weak=%d noncourse=%d sent_strong=%d sent_noncourse=%d src=%s/%s level=%s → %s/%s", "tier", "category", "strong", "weak", "noncourse", "s_strong", "s_noncourse", F.coalesce("source_type", F.lit("")), F.coalesce("media_type", F.lit("")), "academic_level", "classification", "confidence")
+    m = m.withColumn("explanation", told).drop("_folded", "_w", "_s")
+    return m.unionByName(manual_review(fragments, key), allowMissingColumns=True) if "extraction_status" in cols else m
+
+
+#: The columns of an output row, in order.
+OUTPUT = (
+    "timestamp institution country country_code classification confidence is_qise_core academic_level semantic_category keyword_tier matched_keyword matched_keywords course_title evidence_snippet "
+    "source_type media_type source_url pdf_url pdf_page found_on_page seed_origin extraction_status language"
+).split()
+
+
+def to_rows(candidates: DataFrame, timestamp: Column) -> DataFrame:
+    """Candidates as output rows of 23 columns: empty for null, titles cut at 200 characters, snippets at 400 between words."""
+    has = lambda c, default="": F.coalesce(F.col(c).cast("string"), F.lit(default)) if c in candidates.columns else F.lit(default)
+    klass = has("classification", "unclear")
+    keywords = F.array_join(F.coalesce("matched_keywords", F.array().cast("array<string>")), "|") if "matched_keywords" in candidates.columns else F.lit("")
+    made = {
+        "timestamp": timestamp, "classification": klass, "confidence": has("confidence", "low"), "is_qise_core": klass == "qise_core", "academic_level": F.coalesce(F.nullif(has("academic_level"), F.lit("")), F.lit("unknown")),
+        "semantic_category": has("category"), "keyword_tier": has("tier"), "matched_keyword": has("phrase"), "matched_keywords": keywords, "course_title": F.substring(has("title"), 1, 200),
+        "evidence_snippet": tx.truncate_words(has("evidence_snippet"), 400), "pdf_page": F.col("pdf_page").cast("int") if "pdf_page" in candidates.columns else F.lit(None).cast("int"), "extraction_status": has("extraction_status", "extracted"),
+    }
+    return candidates.select(*(made.get(c, has(c)).alias(c) for c in OUTPUT))

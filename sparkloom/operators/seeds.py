@@ -46,6 +46,41 @@ def link_priority(url: Column, anchor: Column) -> Column:
     return F.when(urls.looks_like_pdf(url), 1).when(curriculum, F.when(stem, 2).otherwise(3)).when(low, 5).when(course, F.when(stem, 3).otherwise(4)).otherwise(6)
 
 
+def hard_skip(url: Column) -> Column:
+    """Never queued: binary assets, log-ins, per-user and feed pages."""
+    return F.lower(url).rlike(lx.HARD_SKIP_URL)
+
+
+def link_candidates(links: DataFrame, known_hosts: DataFrame | None = None) -> DataFrame:
+    """(page_url, url, anchor, seq, priority): links (page_url, url, anchor, seq) that may be queued. The first link to a host not yet known
+    counts at least 2 if host or anchor speak of study or a science, or the host's first label is 2 to 4 letters, else at least 3."""
+    kept = links.where(F.col("url").isNotNull() & ~hard_skip(F.col("url"))).withColumn("_host", urls.host(F.col("url"))).withColumn("_p", link_priority(F.col("url"), F.col("anchor")))
+    first = kept.groupBy("_host").agg(F.min("seq").alias("seq"))
+    if known_hosts is not None:
+        first = first.join(known_hosts.select(F.col("host").alias("_host")), "_host", "left_anti")
+    words = tx.spaced(tx.fold(F.concat_ws(" ", F.regexp_replace("_host", "[-.]", " "), "anchor")))
+    speaks = tx.any_term(words, lx.ACADEMIC) | tx.any_term(words, lx.STEM) | F.substring_index("_host", ".", 1).rlike("^[a-z]{2,4}$")
+    new = F.col("_new").isNotNull()
+    out = kept.join(first.withColumn("_new", F.lit(True)), ["_host", "seq"], "left")
+    return out.select("page_url", "url", "anchor", "seq", F.when(new, F.least("_p", F.when(speaks, 2).otherwise(3))).otherwise(F.col("_p")).cast("int").alias("priority"))
+
+
+def frontier_order(candidates: DataFrame) -> DataFrame:
+    """The order in which a wave's candidates are taken: priority, then discovery. The position counts within the wave's partitioned sort."""
+    return candidates.orderBy("priority", "seq")
+
+
+def seed_origin(has_manual: Column, discovered: Column) -> Column:
+    """auto_discovered where discovery ran and found seeds, else manual or homepage_crawl."""
+    return F.when(F.coalesce(discovered, F.lit(0)) > 0, "auto_discovered").when(has_manual, "manual").otherwise("homepage_crawl")
+
+
+def seed_reason(academic: Column, stem: Column, curriculum: Column, pdf: Column, sitemap: Column) -> Column:
+    """Why a seed scored: up to three sorted terms of each sort, and the bonuses, joined by ' + '."""
+    some = lambda label, terms: F.when(F.size(terms) > 0, F.concat(F.lit(f"{label}: "), F.array_join(F.slice(F.array_sort(terms), 1, 3), ", ")))
+    return F.concat_ws(" + ", some("academic", academic), some("stem", stem), F.when(curriculum, "curriculum"), F.when(pdf, "pdf"), F.when(sitemap, "sitemap"))
+
+
 def link_waves(edges: DataFrame, start: DataFrame, max_depth: int) -> DataFrame:
     """(url, depth) reachable in at most max_depth steps: a frontier a wave, each an anti-join on what is known."""
     known = start.select("url", F.lit(0).alias("depth"))

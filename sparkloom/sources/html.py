@@ -162,8 +162,8 @@ def content_kind(content: Column, content_type: Column, url: Column) -> Column:
     ct, u = F.lower(F.coalesce(content_type, F.lit(""))), F.lower(F.coalesce(url, F.lit("")))
     return (
         F.when(ct.contains("pdf") | u.rlike(r"\.pdf($|[?#])") | head.rlike(r"^(20|09|0A|0D|0C|0B)*255044462D"), "pdf")
-        .when(ct.contains("spreadsheetml") | u.rlike(r"\.xlsx($|[?#])"), "xlsx")
-        .when(ct.contains("ms-excel") | u.rlike(r"\.xls($|[?#])") | head.startswith("D0CF11E0"), "xls")
+        .when(ct.contains("spreadsheetml") | u.rlike(r"\.xlsx($|[?#])") | (F.hex(F.substring(content, 1, 4)) == "504B0304") & F.hex(content).contains("786C2F"), "xlsx")
+        .when(ct.contains("ms-excel") | u.rlike(r"\.xls($|[?#])") | head.startswith("D0CF11E0A1B11AE1"), "xls")
         .otherwise("html")
     )
 

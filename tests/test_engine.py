@@ -177,3 +177,44 @@ def test_stream_equals_batch(spark, tmp_path):
     keep_best.keep_best_sink(stream, str(tmp_path / "out"), str(tmp_path / "ck"), ["k"], "rank", "seq").awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out" / "v0"))
     assert sorted(got.collect()) == sorted(dedupe.keep_best(df, ["k"], "rank", "seq", latest=True).collect())
+
+
+def test_documents_without_text_come_out_for_review(spark):
+    rows = [(1, "Quantum Computing. 4 credits. qubits", "catalog", "u", "html", "extracted", ""), (2, "", "pdf", "https://u/a.pdf", "pdf", "needs_manual_review", "graduate"), (3, None, "pdf", "https://u/b.pdf", "pdf", "failed_pdf_extraction", None)]
+    df = spark.createDataFrame(rows, "id long, raw_text string, source_type string, source_url string, media_type string, extraction_status string, academic_level_hint string")
+    out = matching.classify(df, "id")
+    review = {r.id: r for r in out.where("extraction_status <> 'extracted'").collect()}
+    assert {(r.classification, r.confidence) for r in review.values()} == {("unclear", "low")} and review[2].academic_level == "graduate"
+    assert review[2].evidence_snippet.startswith("PDF opened") and review[3].evidence_snippet.startswith("PDF could not")
+    made = matching.to_rows(out, F.lit("2025-01-01T00:00:00Z"))
+    assert made.columns == matching.OUTPUT and len(made.columns) == 23
+    got = {r.source_url: r for r in made.collect()}
+    assert got["https://u/b.pdf"].academic_level == "unknown" and got["u"].is_qise_core and not got["https://u/a.pdf"].is_qise_core
+
+
+def test_summaries(spark):
+    rows = [(1, "A", "Peru", "PE", "qise_core", "Curso X"), (2, "B", "Peru", "PE", "qise_core", "Curso X"), (3, "B", "Peru", "PE", "qise_core", ""), (4, "C", None, None, "unclear", "Y"), (5, None, None, "", None, None)]
+    df = spark.createDataFrame(rows, "seq long, institution string, country string, country_code string, classification string, course_title string")
+    assert [r.university for r in rollup.university_summary(df, "seq").collect()] == ["B", "A", "C", None]
+    assert rollup.country_summary(rollup.by_institution(df, "seq")).first().universities == "A | B"
+    assert [r.seq for r in rollup.unique_core_courses(df, "seq").collect()] == [1]
+    codes = {r.country_code: r for r in rollup.by_country_code(df).collect()}
+    assert codes["PE"].core_institutions == ["A", "B"] and codes["??"].rows == 2 and codes["PE"].institutions == 2
+    assert tuple(rollup.crawl_totals(df.limit(0), ["seq"]).first()) == (0,)
+
+
+def test_links_are_skipped_and_new_hosts_lifted(spark):
+    rows = [("p", "https://fis.uni.edu/fisica/plan-de-estudios", "", 0), ("p", "https://fis.uni.edu/login", "", 1), ("p", "https://x.example.org/a.png", "", 2), ("p", "https://longname.example.org/nosotros", "", 3), ("p", "https://longname.example.org/otros", "", 4), ("p", "https://fc.uni.edu/nosotros", "", 5), ("p", None, None, 6)]
+    out = {r.url: r.priority for r in seeds.link_candidates(spark.createDataFrame(rows, "page_url string, url string, anchor string, seq int")).collect()}
+    assert out == {"https://fis.uni.edu/fisica/plan-de-estudios": 2, "https://longname.example.org/nosotros": 3, "https://longname.example.org/otros": 6, "https://fc.uni.edu/nosotros": 2}
+    known = spark.createDataFrame([("longname.example.org",)], "host string")
+    assert {r.priority for r in seeds.link_candidates(spark.createDataFrame(rows[3:4], "page_url string, url string, anchor string, seq int"), known).collect()} == {6}
+    assert seeds.hard_skip(F.lit("https://u.edu/administracion")) is not None
+
+
+def test_workbooks_by_their_bytes(spark):
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        z.writestr("xl/workbook.xml", "x")
+    df = spark.createDataFrame([(1, bytearray(data.getvalue())), (2, bytearray(bytes.fromhex("D0CF11E0A1B11AE1"))), (3, bytearray(b"  %PDF-1.6")), (4, None)], "i int, c binary")
+    assert {r.i: r.k for r in df.select("i", html.content_kind(F.col("c"), F.lit(None).cast("string"), F.lit("https://u/serve?id=1")).alias("k")).collect()} == {1: "xlsx", 2: "xls", 3: "pdf", 4: "html"}
