@@ -29,14 +29,18 @@ def ngram_frequency(df: DataFrame, text_col: str, n: int, stop: list[str] = ())
     return df.select(F.explode(ngrams(w, n)).alias("term")).groupBy("term").agg(F.count("*").alias("frequency"))
 
 
-def tf_idf(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(term, tfidf_score): mean over documents of tf * ln(N / df). Terms are aggregated a document before the second shuffle."""
-    docs = df.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("w")).where(F.size("w") > 0)
-    n = docs.agg(F.count("*").alias("n_docs"))
-    per = docs.select("id", F.explode("w").alias("term"), F.size("w").alias("size"))
-    tf = per.groupBy("id", "term").agg((F.count("*") / F.first("size")).alias("tf"))
-    t = tf.groupBy("term").agg(F.sum("tf").alias("s"), F.count("*").alias("d"))
-    return t.join(F.broadcast(n)).select("term", (F.col("s") * F.log(F.col("n_docs") / F.col("d")) / F.col("n_docs")).alias("tfidf_score"))
+def tf_idf(df: DataFrame, id_col: str, text_col: str, n: int = 1) -> DataFrame:
+    """(term, tfidf_score): mean over documents of tf * ln(N / df), terms of n words. A document's terms are sorted and counted in its row;
+    the one shuffle is by term, behind a partial aggregate."""
+    docs = df.select(ngrams(tokens(F.col(text_col)), n).alias("w")).where(F.size("w") > 0)
+    many = docs.agg(F.count("*").alias("n_docs"))
+
+    def counted(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return once(starts, lambda at: F.transform(at, lambda i, k: F.struct(F.get(s, i).alias("term"), ((F.coalesce(F.get(at, k + 1), F.size(s)) - i) / F.size(s)).alias("tf"))))
+
+    t = docs.select(F.explode(once(F.array_sort("w"), counted)).alias("x")).groupBy("x.term").agg(F.sum("x.tf").alias("s"), F.count("*").alias("d"))
+    return t.join(F.broadcast(many)).select("term", (F.col("s") * F.log(F.col("n_docs") / F.col("d")) / F.col("n_docs")).alias("tfidf_score"))
 
 
 def lexical_features(df: DataFrame, id_col: str, text_col: str, technical: list[str]) -> DataFrame:

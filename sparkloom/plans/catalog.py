@@ -136,10 +136,12 @@ def classify_rules(spark, d):
     return c.select("candidate_id", matching.decide(F.col("tier"), F.col("st"), F.lit(False), s, w, n, zero, zero).alias("klass"))
 
 
-@query("select candidate_id, case when classification in ('qise_core', 'quantum_foundations_or_adjacent') then case when source_type in ('syllabus', 'curriculum_grid') then 'high' else 'medium' end when classification = 'non_course_or_contextual' then 'low' else 'low' end as conf from qise_candidates")
+@query(f"""select candidate_id, case when classification in ('qise_core', 'quantum_foundations_or_adjacent') then case when s >= 1 or source_type in ('syllabus', 'curriculum_grid') then 'high' else 'medium' end
+ when classification = 'non_course_or_contextual' then case when n >= 1 then 'medium' else 'low' end else 'low' end as conf
+from (select *, {s_count('f', lx.STRONG)} as s, {s_count('f', lx.NONCOURSE)} as n from (select *, {s_spaced(s_fold('coalesce(evidence_snippet, chr(32))'))} as f from qise_candidates))""")
 def confidence_rules(spark, d):
-    c = t(spark, d, "qise_candidates")
-    return c.select("candidate_id", matching.confidence(F.col("classification"), F.col("source_type"), F.lit(0), F.lit(0)).alias("conf"))
+    c = t(spark, d, "qise_candidates").withColumn("f", tx.spaced(tx.fold(F.coalesce("evidence_snippet", F.lit(" ")))))
+    return c.select("candidate_id", matching.confidence(F.col("classification"), F.col("source_type"), tx.count_terms(F.col("f"), lx.STRONG), tx.count_terms(F.col("f"), lx.NONCOURSE)).alias("conf"))
 
 
 @query(f"""select candidate_id, case when u and not p then 'undergraduate' when p and not u then 'graduate' else '' end as level from (select candidate_id, coalesce({s_any('f', lx.UNDERGRAD)}, false) as u, coalesce({s_any('f', lx.POSTGRAD)}, false) as p
@@ -289,9 +291,10 @@ def project_casewhen_confidence(spark, d):
     return t(spark, d, "qise_candidates").select("candidate_id", dedupe.confidence_rank(F.col("confidence")).alias("conf_rank"))
 
 
-@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders)")
+@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_orderpriority = '1-URGENT' and o_orderstatus = 'F')")
 def anti_resume(spark, d):
-    return t(spark, d, "customer").join(t(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
+    done = t(spark, d, "orders").where("o_orderpriority = '1-URGENT' and o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
+    return t(spark, d, "customer").join(done, "c_custkey", "left_anti").select("c_custkey")
 
 
 @query("select c_custkey from customer where c_custkey in (select o_custkey from orders)")
@@ -509,7 +512,8 @@ def lexical_features(spark, d):
     return essays.lexical_features(t(spark, d, "documents").where(F.col("text").isNotNull()), "doc_id", "text", ["quantum", "qubit"]).select("doc_id", "word_count", "unique_words", "lexical_diversity")
 
 
-@query()
+@query("""with v as (select vec_id as id, list_transform(embedding, lambda x: x::double) as v from embeddings), p as (select a.id, list_cosine_similarity(a.v, b.v) as c from v a join v b on a.id <> b.id)
+select id as vec_id, round(avg(c), 9) as avg_similarity from p group by 1""")
 def cosine_avg(spark, d):
     e = t(spark, d, "embeddings")
     vector = next(f.name for f in e.schema.fields if f.dataType.typeName() == "array")
@@ -521,3 +525,59 @@ def cosine_avg(spark, d):
 def weighted_score_label(spark, d):
     c = lambda x: F.col(x).cast("double")
     return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(essays.weighted_grade(c("l_quantity"), c("l_discount"), c("l_tax"), c("l_extendedprice")), 4).alias("grade"))
+
+
+# --- output rows and summaries -----------------------------------------------------------------------------------
+
+
+def _output(spark, d):
+    c = t(spark, d, "qise_candidates")
+    renamed = c.select("candidate_id", *(F.col(a).alias(b) for a, b in (("semantic_category", "category"), ("keyword_tier", "tier"), ("matched_keyword", "phrase"), ("course_title", "title"))), F.split("matched_keywords", "[|]").alias("matched_keywords"), *(x for x in matching.OUTPUT if x not in ("timestamp", "is_qise_core", "semantic_category", "keyword_tier", "matched_keyword", "matched_keywords", "course_title")))
+    return renamed
+
+
+@query("""select coalesce(institution, '') as institution, coalesce(classification, 'unclear') as classification, coalesce(confidence, 'low') as confidence, coalesce(classification, 'unclear') = 'qise_core' as is_qise_core,
+coalesce(nullif(academic_level, ''), 'unknown') as academic_level, coalesce(semantic_category, '') as semantic_category, coalesce(matched_keywords, '') as matched_keywords, left(coalesce(course_title, ''), 200) as course_title, pdf_page::int as pdf_page,
+coalesce(extraction_status, 'extracted') as extraction_status, coalesce(source_url, '') as source_url, '2025-01-01T00:00:00Z' as timestamp from qise_candidates""")
+def output_rows(spark, d):
+    """The 23-column projection; the columns whose rules the SQL states on its own."""
+    return matching.to_rows(_output(spark, d), F.lit("2025-01-01T00:00:00Z")).select("institution", "classification", "confidence", "is_qise_core", "academic_level", "semantic_category", "matched_keywords", "course_title", "pdf_page", "extraction_status", "source_url", "timestamp")
+
+
+@query(f"select country_code, sum(qise_core)::bigint as qise_core, sum(total)::bigint as total, string_agg(distinct university, ' | ' order by university) as universities from ({_INST}) group by 1")
+def country_summary(spark, d):
+    return rollup.country_summary(_institutions(spark, d).withColumn("country", F.lit(""))).select("country_code", "qise_core", "total", "universities")
+
+
+@query("""select coalesce(nullif(country_code, ''), '??') as country_code, count(*) as rows, count(*) filter (classification = 'qise_core') as core_rows, count(distinct institution) as institutions,
+coalesce(len(list(distinct institution) filter (classification = 'qise_core' and institution is not null)), 0)::int as core_institutions from qise_candidates group by 1""")
+def summary_by_country(spark, d):
+    return rollup.by_country_code(t(spark, d, "qise_candidates")).withColumn("core_institutions", F.size("core_institutions"))
+
+
+@query("select course_title, min(candidate_id) as candidate_id from qise_candidates where classification = 'qise_core' and course_title <> '' group by 1")
+def unique_core_courses(spark, d):
+    return rollup.unique_core_courses(t(spark, d, "qise_candidates").select("course_title", "candidate_id", "classification"), "candidate_id").select("course_title", "candidate_id")
+
+
+@query("select coalesce(seed_origin, '') as seed_origin, count(*) as n from qise_candidates group by 1")
+def by_seed_origin(spark, d):
+    return rollup.histogram(t(spark, d, "qise_candidates"), "seed_origin", "")
+
+
+@query(f"select candidate_id, regexp_matches(lower(source_url), '{lx.HARD_SKIP_URL.replace('(?![a-z])', '(?:[^a-z]|$)')}') as skip from qise_candidates")
+def hard_skip(spark, d):
+    return t(spark, d, "qise_candidates").select("candidate_id", seeds.hard_skip(F.col("source_url")).alias("skip"))
+
+
+@query("select x.* from (values " + ", ".join(f"('{c}', {a}, {b}, {str(e).lower()})" for c, a, b, e, _, _ in lx.COUNTRY_FACTS) + ") as x(country_code, times_top_rank, scimago_country_rank_physics, ibm_quantum_network_member) where country_code in (select upper(trim(country_code)) from qise_candidates)")
+def country_facts(spark, d):
+    codes = t(spark, d, "qise_candidates").select(F.upper(F.trim("country_code")).alias("country_code"))
+    return loaders.enrich_countries(codes, loaders.country_facts(spark)).where("times_top_rank is not null").select("country_code", "times_top_rank", "scimago_country_rank_physics", "ibm_quantum_network_member")
+
+
+@query(f"""with w as (select {_TOK} as t from documents where text is not null), b as (select list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]) as t from w where len(t) >= 2), n as (select count(*) as n from b),
+e as (select row_number() over () as id, t from b), f as (select id, term, count(*)::double / any_value(size) as tf from (select id, len(t) as size, unnest(t) as term from e) group by 1, 2)
+select term, round(sum(tf) * ln(any_value(n)::double / count(*)) / any_value(n), 8) as tfidf_score from f, n group by term""")
+def tfidf_bigrams(spark, d):
+    return essays.tf_idf(t(spark, d, "documents").where(F.col("text").isNotNull()), "doc_id", "text", 2).withColumn("tfidf_score", F.round("tfidf_score", 8))

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import csv
-import json
-import os
 import re
 import unicodedata
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import lexicons as lx
 from ..functions.text import country_code, fold
 
 ENCODINGS = ("utf-8-sig", "utf-8", "cp1252", "latin-1")
@@ -74,8 +72,11 @@ def institutions_from(df: DataFrame) -> DataFrame:
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """A CSV whose encoding and separator are found from its first bytes; rows too short or long are padded or cut."""
-    with open(path, "rb") as f:
-        head = f.read(65536)
+    fs, p = _file_system(spark, path)
+    files = [x.getPath() for x in fs.listStatus(p) if x.isFile()]  # the file itself, or those of a folder
+    stream = fs.open(files[0])
+    head = bytes(stream.readNBytes(65536))
+    stream.close()
     text = decode(head)
     encoding = next((e for e in ENCODINGS if _fits(head, e)), "utf-8")
     sep = max([",", ";", "\t"], key=text.splitlines()[0].count if text.splitlines() else lambda s: 0)
@@ -126,27 +127,56 @@ def refresh_cache(cache: DataFrame, fresh: DataFrame, ttl_days: int, now: Column
     return j.select("key", F.coalesce("new", "old").alias("value"), (F.col("new").isNull() & (F.col("fetched_at") + F.expr(f"INTERVAL {ttl_days} DAYS") < now)).alias("stale"))
 
 
-def export_csv(df: DataFrame, path: str, bom: bool = True) -> int:
-    """One CSV file with a byte-order mark, streamed a partition at a time and put in place by a rename."""
-    tmp, n = f"{path}.tmp", 0
-    with open(tmp, "w", encoding="utf-8-sig" if bom else "utf-8", newline="") as f:
-        w = csv.writer(f)
-        w.writerow(df.columns)
-        for r in df.toLocalIterator():
-            w.writerow(["" if x is None else x for x in r])
-            n += 1
-    os.replace(tmp, path)
-    return n
-
-
-def export_json(df: DataFrame, path: str) -> int:
-    """One JSON array, streamed and put in place by a rename."""
-    tmp, n = f"{path}.tmp", 0
-    with open(tmp, "w", encoding="utf-8") as f:
-        f.write("[")
-        for r in df.toLocalIterator():
-            f.write(("," if n else "") + "\n" + json.dumps(r.asDict(recursive=True), ensure_ascii=False, default=str))
-            n += 1
-        f.write("\n]\n")
-    os.replace(tmp, path)
-    return n
+def country_facts(spark: SparkSession) -> DataFrame:
+    """The literal country dimension; a row a country, small whatever the data."""
+    names = "country_code string, times_top_rank int, scimago_country_rank_physics int, ibm_quantum_network_member boolean, national_quantum_initiative boolean, latam_quantum_alliance_member boolean"
+    return spark.createDataFrame(lx.COUNTRY_FACTS, names).withColumn("manual_data_reference_year", F.lit(2024))
+
+
+def indicator_columns(observations: DataFrame) -> DataFrame:
+    """A row a country with value and year of each indicator; observations (country_code, indicator, year, value)."""
+    latest = latest_observation(observations)
+    cols = [c for name, code in lx.INDICATORS.items() for c in (F.max(F.when(F.col("indicator") == code, F.col("value"))).alias(name), F.max(F.when(F.col("indicator") == code, F.col("year").cast("string"))).alias(f"{name}_year"))]
+    return latest.groupBy("country_code").agg(*cols)
+
+
+def _file_system(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _joined(df: DataFrame, path: str, head: bytes, tail: bytes, drop: int) -> None:
+    """One file on any file system Spark knows: the executors write lines, their parts are joined as bytes behind `head`, without the last
+    `drop` bytes of the last part, and the file is put in place by a rename. No row passes through Python or the driver's memory."""
+    spark = df.sparkSession
+    fs, target = _file_system(spark, path)
+    parts, made = (spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{x}") for x in ("parts", "tmp"))
+    fs.delete(parts, True)
+    df.write.text(parts.toString())
+    files = sorted((f for f in fs.listStatus(parts) if f.getPath().getName().startswith("part-") and f.getLen() > 0), key=lambda f: f.getPath().getName())
+    out = fs.create(made, True)
+    out.write(bytearray(head))
+    for n, f in enumerate(files):
+        source = fs.open(f.getPath())
+        spark._jvm.org.apache.commons.io.IOUtils.copyLarge(source, out, 0, f.getLen() - (drop if n == len(files) - 1 else 0))
+        source.close()
+    out.write(bytearray(tail))
+    out.close()
+    fs.delete(target, False)
+    if not fs.rename(made, target):
+        raise OSError(f"could not put {path} in place")
+    fs.delete(parts, True)
+
+
+def export_csv(df: DataFrame, path: str, bom: bool = True) -> None:
+    """One CSV file with a byte-order mark; rows in the order of the DataFrame, nulls empty, fields quoted where they must be."""
+    text = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
+    field = lambda c: F.when(text(c).rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(text(c), F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text(c))
+    head = ",".join('"' + c.replace('"', '""') + '"' if any(x in c for x in '",\r\n') else c for c in df.columns) + "\n"
+    _joined(df.select(F.concat_ws(",", *map(field, df.columns)).alias("value")), path, (b"\xef\xbb\xbf" if bom else b"") + head.encode(), b"", 0)
+
+
+def export_json(df: DataFrame, path: str) -> None:
+    """One JSON array, non-ASCII kept, nulls written."""
+    line = F.concat(F.to_json(F.struct(*(f"`{c}`" for c in df.columns)), {"ignoreNullFields": "false"}), F.lit(","))
+    _joined(df.select(line.alias("value")), path, b"[\n", b"\n]\n", 2)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,16 +18,19 @@ def windowed_counts(stream: DataFrame, event_time: str, key: str, width: str, de
 
 
 def keep_best_sink(stream: DataFrame, path: str, checkpoint: str, keys: list[str], rank: str, seq: str):
-    """A query that merges each batch into a versioned table at path; re-running a batch gives the same version."""
+    """A query that merges each batch into a versioned table at path, on any file system Spark knows; re-running a batch gives the same
+    version. The last version before the batch counts, whatever its number; versions older than that are removed."""
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        old = f"{path}/v{number - 1}"
-        new = batch
-        if number and os.path.exists(old):
-            new = merge_existing(spark.read.parquet(old), batch, keys, rank, seq)
-        else:
-            new = merge_existing(batch.limit(0), batch, keys, rank, seq)
-        new.write.mode("overwrite").parquet(f"{path}/v{number}")
+        root = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+        named = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+        done = lambda n: fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{n}/_SUCCESS"))
+        before = sorted(n for x in named if x[:1] == "v" and x[1:].isdigit() and (n := int(x[1:])) < number and done(n))
+        old = spark.read.parquet(f"{path}/v{before[-1]}") if before else batch.limit(0)
+        merge_existing(old, batch, keys, rank, seq).write.mode("overwrite").parquet(f"{path}/v{number}")
+        for n in before[:-1]:
+            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{n}"), True)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

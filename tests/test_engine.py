@@ -218,3 +218,71 @@ def test_workbooks_by_their_bytes(spark):
         z.writestr("xl/workbook.xml", "x")
     df = spark.createDataFrame([(1, bytearray(data.getvalue())), (2, bytearray(bytes.fromhex("D0CF11E0A1B11AE1"))), (3, bytearray(b"  %PDF-1.6")), (4, None)], "i int, c binary")
     assert {r.i: r.k for r in df.select("i", html.content_kind(F.col("c"), F.lit(None).cast("string"), F.lit("https://u/serve?id=1")).alias("k")).collect()} == {1: "xlsx", 2: "xls", 3: "pdf", 4: "html"}
+
+
+def test_attendance(spark):
+    from sparkloom.operators import attendance
+
+    rows = [("VERDADERO", "FALSO", "FALSO", " Ingenieria de Software ", "a", ""), ("FALSO", "VERDADERO", None, "Derecho", " ", None), (None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "d1 string, d2 string, d3 string, career string, c1 string, c2 string")
+    df = df.select(*(attendance.flag(F.col(x)).alias(x) for x in ("d1", "d2", "d3")), attendance.clean_career(F.col("career")).alias("career"), "c1", "c2")
+    out = attendance.with_flags(df, ["d1", "d2", "d3"], ["c1", "c2"]).withColumn("kind", attendance.career_class(F.col("career"))).collect()
+    assert [(r.career, r.kind, r.total, r.dropout, r.commitment_days) for r in out] == [("ingeniería de software", "STEM", 1, 1, 1), ("derecho", "No STEM", 1, 0, 0), ("", "No STEM", 0, 0, 0)]
+    assert tuple(attendance.day_sums(df, ["d1", "d2", "d3"]).first()) == (1, 1, 0)
+
+
+def test_manual_entries_and_settings(spark, tmp_path):
+    import pytest
+
+    from sparkloom.sources import manual
+
+    df = spark.createDataFrame([("PhD",), (" Pregrado ",), (None,), ("unknown",)], "l string")
+    assert [r.x for r in df.select(manual.academic_level(F.col("l")).alias("x")).collect()] == ["graduate", "undergraduate", "unknown", "unknown"]
+    with pytest.raises(Exception, match="invalid academic level"):
+        spark.createDataFrame([("x",)], "l string").select(manual.academic_level(F.col("l"))).collect()
+    rows = spark.createDataFrame([("unclear", "high", "a"), ("qise_core", "low", "b"), ("qise_core", "high", "c"), ("odd", "high", "d")], "classification string, confidence string, semantic_category string")
+    assert [r.semantic_category for r in manual.report_order(rows).collect()] == ["c", "b", "a", "d"]
+    old = spark.createDataFrame([("u", "high", 1), ("v", "low", 1)], "k string, confidence string, n int")
+    new = spark.createDataFrame([("u", "low", 2), ("v", "low", 2)], old.schema)
+    assert sorted((r.k, r.n) for r in manual.append(old, new, ["k"], "n").collect()) == [("u", 1), ("v", 2)]
+    p = tmp_path / "list.json"
+    p.write_text('{"universities": [{"name": "Uni", "country": "Perú", "website": "https://u.edu.pe/", "seed_urls": ["https://u.edu.pe/a"]}, {"name": "", "website": "x.y"}]}')
+    assert [(r.name, r.country_code, r.catalog_urls) for r in manual.read_list(spark, str(p)).collect()] == [("Uni", "PE", ["https://u.edu.pe/a"])]
+    with pytest.raises(ValueError):
+        manual.read_list(spark, str(tmp_path / "a.txt"))
+    assert manual.settings({"a": 1, "old": 2, "alias": 3}, {"alias": "a", "old": "new"}, {"new": 9, "z": None}) == {"a": 1, "new": 9}
+
+
+def test_feeds(spark):
+    from sparkloom.sources import feeds
+
+    df = spark.createDataFrame([("s", "<rss><channel><item><title>T</title><description>cuerpo del texto</description><link>https://a</link></item></channel></rss>"), ("s", None), ("s", "<bad")], "n string, x string")
+    assert [(r.raw_text, r.url) for r in feeds.valid_records(feeds.rss_records(df, "n", "x")).collect()] == [("T cuerpo del texto", "https://a")]
+    reddit = spark.createDataFrame([("r", '{"data": {"children": [{"data": {"title": "T", "selftext": "x", "permalink": "/r/q/1", "created_utc": 0}}]}}'), ("r", None), ("r", "{")], "n string, x string")
+    assert [(r.raw_text, r.url) for r in feeds.reddit_records(reddit, "n", "x").collect()] == [("T x", "https://www.reddit.com/r/q/1")]
+    tweets = spark.createDataFrame([("t", '{"data": [{"id": "5", "text": "hola"}]}')], "n string, x string")
+    assert [r.url for r in feeds.twitter_records(tweets, "n", "x").collect()] == ["https://twitter.com/i/web/status/5"]
+
+
+def test_exports_round_trip(spark, tmp_path):
+    import csv
+    import json
+
+    rows = [(1, 'a "q", b', None), (2, "línea\nnueva", True)]
+    df = spark.createDataFrame(rows, "n int, t string, b boolean").coalesce(1)
+    loaders.export_csv(df, f"{tmp_path}/x.csv")
+    with open(f"{tmp_path}/x.csv", encoding="utf-8-sig", newline="") as f:
+        assert list(csv.reader(f)) == [["n", "t", "b"], ["1", 'a "q", b', ""], ["2", "línea\nnueva", "true"]]
+    loaders.export_json(df, f"{tmp_path}/x.json")
+    assert json.load(open(f"{tmp_path}/x.json", encoding="utf-8")) == [{"n": 1, "t": 'a "q", b', "b": None}, {"n": 2, "t": "línea\nnueva", "b": True}]
+    loaders.export_csv(df.limit(0), f"{tmp_path}/e.csv")
+    loaders.export_json(df.limit(0), f"{tmp_path}/e.json")
+    assert open(f"{tmp_path}/e.csv", encoding="utf-8-sig").read() == "n,t,b\n" and json.load(open(f"{tmp_path}/e.json")) == []
+    assert [r.t for r in loaders.read_csv(spark, f"{tmp_path}/x.csv").collect()] == ['a "q", b', "línea\nnueva"]
+
+
+def test_country_dimensions(spark):
+    seen = spark.createDataFrame([("PE", "NY.GDP.PCAP.CD", 2020, 1.23456), ("PE", "NY.GDP.PCAP.CD", 2022, None), ("PE", "IT.NET.USER.ZS", 2021, 70.0)], "country_code string, indicator string, year int, value double")
+    out = loaders.enrich_countries(spark.createDataFrame([("PE",), ("XX",), ("bad",)], "country_code string"), loaders.country_facts(spark), loaders.indicator_columns(seen))
+    got = {r.country_code: r for r in out.collect()}
+    assert set(got) == {"PE", "XX"} and got["PE"].gdp_per_capita_usd == 1.2346 and got["PE"].gdp_per_capita_usd_year == "2020" and got["PE"].times_top_rank == 1001 and got["XX"].times_top_rank is None
