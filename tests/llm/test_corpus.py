@@ -58,6 +58,26 @@ def test_repeated_lines(spark):
     assert repeated_lines.repeated_lines(df.limit(0), "record_id", "source_name", "raw_text").count() == 0
 
 
+def test_repeated_lines_cluster_with_names_masked(spark, monkeypatch):
+    names = ["Tajago", "Pelmar", "Rituna", "Zumelvia", "Bedotan", "Linjavos"]
+    rows = [(i, "s", "\n".join((f"Siga leyendo las noticias del portal {n} en esta misma sección", ("Ver mapa", "Ver ma pa")[i % 2], ("Sala 3 5 abierta", "SALA 35 abierta")[i % 2], f"Publicado el {i + 1} de {('Mayo', 'mayo', 'Março')[i % 3]} de 2020", "abcdef"[i] * 9))) for i, n in enumerate(names)]
+    df = spark.createDataFrame(rows, "record_id long, source_name string, raw_text string")
+    ask = lambda **x: {tuple(r) for r in repeated_lines.repeated_lines(df, "record_id", "source_name", "raw_text", **x).collect()}
+    same = {(i, n) for i in range(6) for n in (2, 3, 4)}
+    seen = []
+    clusters = repeated_lines._clusters
+    monkeypatch.setattr(repeated_lines, "_clusters", lambda *a: seen.append(clusters(*a)) or seen[-1])
+    assert ask() == same  # names count by the definition, spacing and the number of numbers don't
+    assert seen[0].groupBy("cluster").count().where("count = 6").count() == 1  # but the six lines are one cluster
+    assert ask(near=True) == same | {(i, 1) for i in range(6)}
+    assert ask(near=True, names=False) == same
+
+
+def test_components_of_a_chain(spark):
+    links = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(101, 100), (102, 100)], "u long, v long")
+    assert {tuple(r) for r in repeated_lines._components(links).collect()} == {(i, 0) for i in range(1, 41)} | {(101, 100), (102, 100)}
+
+
 TEXTS = {
     "es": "La asignatura estudia los fundamentos de la información y el docente explica cada tema con ejemplos tomados de la industria local. ",
     "pt": "A disciplina estuda os fundamentos da informação e o professor explica cada assunto com exemplos vindos da indústria local. ",
